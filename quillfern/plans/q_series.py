@@ -12,7 +12,6 @@ from quillfern.plans.catalogue import query
 from quillfern.sources.tables import table
 
 HOUR = 3_600_000_000
-US = F.unix_micros(F.col("ts").cast("timestamp"))
 #: The series in DuckDB: e(user_id, event_id, us, event_type, value) and numbered rows.
 E_SQL = "with e as (select user_id, event_id, epoch_us(ts) as us, event_type, value from events)"
 N_SQL = E_SQL + ", n as (select *, row_number() over (partition by user_id order by us, event_id) as i from e)"
@@ -24,7 +23,7 @@ f as (select r.user_id, t.hour - a as frame, coalesce(n, 0) as n, n is not null
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id", "event_id", US.alias("us"), "event_type", "value")
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_type", "value")
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:

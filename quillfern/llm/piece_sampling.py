@@ -89,6 +89,29 @@ class Pieces:
             logs = np.array([-np.log(2 + rank(i)) / temperature if i >= 0 else -np.inf for i in ids.tolist()])
             self.by_length.append((keys[order], ids[order], logs[order]))
 
+        # A slot for the top bits of a hash holds its prefix; the few that meet another there are found by binary search.
+        self.slots = []
+        for keys, _, _ in self.by_length:
+            slot = np.full(1 << 18, -1, np.int32)
+            slot[(keys >> np.uint64(46)).astype(np.int64)[::-1]] = np.arange(len(keys))[::-1]
+            self.slots.append((slot, len(np.unique(keys >> np.uint64(46))) < len(keys)))
+
+    def find(self, k: int, hashes: np.ndarray) -> np.ndarray:
+        """For each hash of k + 1 code points the number of the prefix, or -1."""
+        keys = self.by_length[k][0]
+        slot, shared = self.slots[k]
+        at = slot[(hashes >> np.uint64(46)).astype(np.int64)]
+        wrong = np.flatnonzero(keys[at] != hashes)
+        if len(wrong):
+            if shared:
+                some = wrong[at[wrong] >= 0]
+                there = np.minimum(np.searchsorted(keys, hashes[some]), len(keys) - 1)
+                at[wrong] = -1
+                at[some] = np.where(keys[there] == hashes[some], there, -1)
+            else:
+                at[wrong] = -1
+        return at
+
     @staticmethod
     def hashes(points: np.ndarray) -> np.ndarray:
         h = np.zeros(len(points), np.uint64)
@@ -107,7 +130,7 @@ def load_pieces(path: str, temperature: float = 1.0) -> Pieces:
 class Lattice:
     """Lattices of distinct units, laid end to end and kept from slice to slice: for each character its edges, likeliest first.
 
-    ptr[r] .. ptr[r + 1] are the edges of row r, with their length, piece (-2: bytes), log of the local choice and running sum.
+    the many[r] edges of row r begin at ptr[r], with their length, piece (-2: bytes), log of the local choice and running sum.
     """
 
     def __init__(self, pieces: Pieces, most_rows: int = 3_000_000):
@@ -120,6 +143,7 @@ class Lattice:
         self.start = np.zeros(1 << 12, np.int64)
         self.points = np.zeros(1 << 14, np.uint32)
         self.ptr = np.zeros(1 << 14, np.int64)
+        self.many = np.zeros(1 << 14, np.int8)
         self.length = np.zeros(1 << 16, np.int8)
         self.piece = np.zeros(1 << 16, np.int32)
         self.log = np.zeros(1 << 16, np.float32)
@@ -152,56 +176,73 @@ class Lattice:
         size = np.fromiter(map(len, units), np.int64, len(units))
         stop = np.cumsum(size)
         left = np.repeat(stop, size) - np.arange(n)  # characters up to the unit's end
-        longest = min(pieces.longest, int(size.max()))
-        edge = np.full((n, longest), -1, np.int32)
-        log = np.full((n, longest), -np.inf)
         h = np.zeros(n, np.uint64)
         here = np.arange(n)
-        with np.errstate(over="ignore"):
-            for k in range(longest):
+        rows, lengths, ids, logs = [], [], [], []
+        for k in range(min(pieces.longest, int(size.max()))):
+            if k:
                 here = here[left[here] > k]
+            if not len(here):
+                break
+            with np.errstate(over="ignore"):
                 v = (h[here] ^ points[here + k]) * _M2
-                h[here] = v = v ^ (v >> np.uint64(29))
-                keys, ids, logs = pieces.by_length[k]
-                at = np.minimum(np.searchsorted(keys, v), len(keys) - 1)
-                ok = np.flatnonzero(keys[at] == v)
-                here, at = here[ok], at[ok]  # the others begin no longer piece
-                edge[here, k] = ids[at]
-                log[here, k] = logs[at]
-        used = np.flatnonzero((edge >= 0).any(0))
-        longest = int(used[-1]) + 1 if len(used) else 1
-        edge, log = edge[:, :longest].copy(), log[:, :longest].copy()
-        lone = np.flatnonzero(edge[:, 0] < 0)  # no piece: bytes
+                v ^= v >> np.uint64(29)
+            at = pieces.find(k, v)
+            ok = np.flatnonzero(at >= 0)
+            here, at = here[ok], at[ok]  # the others begin no longer piece
+            h[here] = v[ok]
+            id_ = pieces.by_length[k][1][at]
+            whole = np.flatnonzero(id_ >= 0)
+            rows.append(here[whole])
+            lengths.append(np.full(len(whole), k + 1, np.int64))
+            ids.append(id_[whole])
+            logs.append(pieces.by_length[k][2][at[whole]])
+        one = np.zeros(n, bool)
+        one[rows[0]] = True
+        lone = np.flatnonzero(~one)  # no piece of this character: its bytes
         if len(lone):
             width = 1 + (points[lone] > 0x7F).astype(int) + (points[lone] > 0x7FF) + (points[lone] > 0xFFFF)
-            edge[lone, 0] = -2
-            log[lone, 0] = width * pieces.byte_log
-        beta = np.zeros(n + longest + 1)
-        order = np.argsort(left, kind="stable")
-        bounds = np.concatenate((np.flatnonzero(np.diff(left[order], prepend=0)), [n]))
-        steps = np.arange(1, longest + 1)
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            at = order[a:b]
-            far = int(left[at[0]])
-            reach = min(longest, far)
-            total = log[at, :reach]
-            total += np.where(steps[:reach] < far, beta[at[:, None] + steps[None, :reach]], 0.0)
-            top = total.max(1)
-            beta[at] = top + np.log(np.exp(total - top[:, None]).sum(1))
-            log[at, :reach] = total - beta[at][:, None]
-        row, column = np.nonzero(edge != -1)
-        first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n))))
-        best = np.flatnonzero(column == np.argmax(log, 1)[row])  # one a row: likeliest edges come first
-        column[first[:-1]], column[best] = column[best].copy(), column[first[:-1]].copy()
-        chosen = log[row, column]
-        chance = np.exp(chosen)
+            rows.append(lone)
+            lengths.append(np.ones(len(lone), np.int64))
+            ids.append(np.full(len(lone), -2, np.int32))
+            logs.append(width * pieces.byte_log)
+        row, length, id_, log = map(np.concatenate, (rows, lengths, ids, logs))
+        # Edges by characters up to the unit's end, then by row: backward sums go through them once, in order.
+        order = np.lexsort((row, left[row])) if n >= 1 << 15 else np.argsort(left[row] * n + row, kind="stable")
+        row, length, id_, log = row[order], length[order], id_[order], log[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1))  # a row's edges stand together
+        count = np.diff(first, append=len(row))
+        of = row[first]
+        beta = np.zeros(n + 1)
+        follow = row + length
+        inner = left[row] > length
+        group = np.flatnonzero(np.diff(left[of], prepend=0))  # rows of one distance
+        for a, b in zip(group.tolist(), [*group[1:].tolist(), len(of)], strict=True):
+            ea, eb = int(first[a]), int(first[b - 1] + count[b - 1])
+            total = log[ea:eb]
+            total += np.where(inner[ea:eb], beta[np.minimum(follow[ea:eb], n)], 0.0)
+            begin = first[a:b] - ea
+            top = np.maximum.reduceat(total, begin)
+            each = np.repeat(top, count[a:b])
+            sums = top + np.log(np.add.reduceat(np.exp(total - each), begin))
+            beta[of[a:b]] = sums
+            total -= np.repeat(sums, count[a:b])
+        top = np.repeat(np.maximum.reduceat(log, first), count)
+        best = np.flatnonzero(log == top)
+        best = best[np.flatnonzero(np.diff(row[best], prepend=-1))]  # one a row: likeliest edges come first
+        for x in (length, id_, log):
+            x[first], x[best] = x[best].copy(), x[first].copy()
+        chance = np.exp(log)
         sums = np.cumsum(chance)
-        sums -= np.repeat(sums[first[:-1]] - chance[first[:-1]], np.diff(first))
-        sums[first[1:] - 1] = 2.0
+        sums -= np.repeat(sums[first] - chance[first], count)
+        sums[first + count - 1] = 2.0
+        begin, many = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        begin[of], many[of] = first, count
         self._put("start", self.units + 1, self.rows + stop)
         self._put("points", self.rows, points)
-        self._put("ptr", self.rows + 1, self.edges + first[1:])
-        for name, values in (("length", column + 1), ("piece", edge[row, column]), ("log", chosen), ("sums", sums)):
+        self._put("ptr", self.rows, self.edges + begin)
+        self._put("many", self.rows, many)
+        for name, values in (("length", length), ("piece", id_), ("log", log), ("sums", sums)):
             self._put(name, self.edges, values)
         self.units += len(units)
         self.rows += n
@@ -403,7 +444,7 @@ def sample_texts(texts: list[str], keys: list[int | None], k: int, lat: Lattice,
             a = int(p.first[np.searchsorted(p.texts, t)])
             r, x = int(p.row[s]), int(p.place[s])
             used = p.used.get(s, [int(p.edge[s])])
-            left = [e for e in range(int(lat.ptr[r]), int(lat.ptr[r + 1])) if e not in used]
+            left = [e for e in range(int(lat.ptr[r]), int(lat.ptr[r]) + int(lat.many[r])) if e not in used]
             chance = np.exp(lat.log[left].astype(np.float64))
             e = left[min(int(np.searchsorted(np.cumsum(chance), uniform(key[t : t + 1], 5 * nth + 1, np.array([x]))[0] * chance.sum())), len(left) - 1)]
             pre.append((p.place[a:s], p.row[a:s], p.edge[a:s]))

@@ -3,7 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 os.environ.setdefault("QUILLFERN_DRIVER_MEMORY", "4g")
 
 
@@ -17,9 +19,6 @@ def spark():
     s.stop()
 
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
-
 @pytest.fixture(scope="session")
 def sf_dir():
-    return SF
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -144,13 +144,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("words")).alias("w"), F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))  # one row per automaton
-
-    def joined(array: str, a: str, b: str, touch: int):
-        grow = lambda acc, x: F.when((F.size(acc) > 0) & (x[a] <= F.element_at(acc, -1)[b] + touch), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)[a].alias(a), F.greatest(F.element_at(acc, -1)[b], x[b]).alias(b))))).otherwise(F.concat(acc, F.array(x)))
-        return F.aggregate(F.sort_array(array), F.slice(F.col(array), 1, 0), grow)
-
-    return merged.select("doc_id", "n_words", joined("w", "first", "last", 1).alias("words"), joined("s", "start", "stop", 0).alias("spans"), F.array_sort(F.array_distinct("i")).alias("items"))
+    # One row per automaton and document. A run's words and its span of the text are merged together.
+    runs = F.flatten(F.collect_list(F.zip_with("words", "spans", lambda w, s: F.struct(w["first"].alias("first"), w["last"].alias("last"), s["start"].alias("start"), s["stop"].alias("stop")))))
+    merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sort_array(runs).alias("runs"), F.flatten(F.collect_list("items")).alias("found"))
+
+    def grow(acc, x):
+        end = F.try_element_at(acc, F.lit(-1))
+        wider = F.struct(end["first"].alias("first"), F.greatest(end["last"], x["last"]).alias("last"), end["start"].alias("start"), F.greatest(end["stop"], x["stop"]).alias("stop"))
+        touches = (F.size(acc) > 0) & (x["first"] <= end["last"] + 1)
+        return F.when(touches, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(acc, F.array(x)))
+
+    merged = merged.withColumn("runs", F.aggregate("runs", F.slice("runs", 1, 0), grow))
+    pick = lambda a, b: F.transform("runs", lambda r: F.struct(r[a].alias(a), r[b].alias(b)))
+    return merged.select("doc_id", "n_words", pick("first", "last").alias("words"), pick("start", "stop").alias("spans"), F.array_sort(F.array_distinct("found")).alias("items"))
 
 
 def with_verdict(found: DataFrame) -> DataFrame:

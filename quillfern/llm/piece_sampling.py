@@ -357,13 +357,22 @@ def open_regions(lat: Lattice, p: Path, bound: np.ndarray, key: np.ndarray, stre
     """Draws the bounds of the regions that split off at the wanted steps of a path; bound: of the path, by text."""
     at = np.flatnonzero(wanted & ~p.skip)
     text = p.texts[np.searchsorted(p.first, at, side="right") - 1]
-    chance = np.exp(lat.log[p.edge[at]].astype(np.float64))
+    rest = -np.expm1(lat.log[p.edge[at]].astype(np.float64))
+    # Where little is left, the sum of the other edges' chances is more exact than one less the chosen one's.
+    little = np.flatnonzero(rest < 0.1)
+    rest[little] = 0
+    begin, many = lat.ptr[p.row[at[little]]], lat.many[p.row[at[little]]]
+    for k in range(int(many.max(initial=0))):
+        here = np.flatnonzero((many > k) & (begin + k != p.edge[at[little]]))
+        rest[little[here]] += np.exp(lat.log[begin[here] + k].astype(np.float64))
     for s, used in p.used.items():
         if wanted[s] and not p.skip[s]:
-            chance[np.searchsorted(at, s)] = min(1.0, float(np.exp(lat.log[used].astype(np.float64)).sum()))
-    some = chance < 1 - 1e-12
+            r = int(p.row[s])
+            others = [e for e in range(int(lat.ptr[r]), int(lat.ptr[r]) + int(lat.many[r])) if e not in used]
+            rest[np.searchsorted(at, s)] = np.exp(lat.log[others].astype(np.float64)).sum() if others else 0.0
+    some = rest > 0
     at, text = at[some], text[some]
-    location = p.before[at] + np.log1p(-chance[some])
+    location = p.before[at] + np.log(rest[some])
     p.region_text = np.concatenate((p.region_text, text))
     p.region_step = np.concatenate((p.region_step, at))
     p.region_bound = np.concatenate((p.region_bound, truncated(location, bound[text], uniform(key[text], stream, p.place[at]))))

@@ -1,0 +1,426 @@
+"""The corpus operators against brute force, SQL, exact round trips and held-out labels, and on odd tables."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+from itertools import permutations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from quillfern.llm import components, decontam, license_scan, piece_sampling, quality_fm, quality_rules, queries, secret_scan, sharding, simhash, suffix_dedup, token_counts
+from quillfern.llm.common import DOCUMENT_COLUMNS
+from tests.oracle import oracle_rows, rows_of
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+BENCH = "item_id long, text string"
+
+
+def words(n, start=0):
+    return " ".join(f"w{start + k}" for k in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty, blank and very long texts, repeated rows and ids, and clashing extra columns."""
+    long_text = words(30_000)
+    rows = [(1, words(40), "en", "a", 10), (2, words(40), None, None, None), (3, None, "en", "a", None), (4, "", "de", "b", 0), (5, " \n\t", "de", "b", 3), (6, long_text, "en", "a", 1), (None, words(60, 7), "en", "a", 1), (1, words(40), "en", "a", 10), (7, "ç é 漢字 \U0001f600 \x00", "fr", "c", 9), (8, "x", "en", "a", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for clash in ("kept", "fp", "score", "slot", "rid", "at", "words", "row", "batch"):
+        df = df.withColumn(clash, F.lit("clash"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_its_oracle(spark, sf_dir, name):
+    assert rows_of(queries.queries()[name](spark, sf_dir)) == oracle_rows(sf_dir, queries.oracle_sql()[name])
+
+
+# -- 1 --------------------------------------------------------------------------------------------
+
+
+def test_binomial_tail_is_exact(spark):
+    cases = [(50.0, 0), (400.0, 3), (2000.0, 1), (100_000.0, 400)]
+    df = spark.createDataFrame(cases, "n double, k long").select("n", "k", quality_rules.binomial_tail(F.col("n"), F.col("k"), 0.005).alias("p"))
+    for n, k, p in df.collect():
+        want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.005) + (n - i) * math.log1p(-0.005)) for i in range(k + 1)) if k < 0.005 * n else 1.0
+        assert p == pytest.approx(want, rel=1e-7)
+
+
+def test_cutoffs_keep_the_promised_share(spark):
+    rows = [(i, "s", 100, 500, 40 if i % 10 == 0 else 1, 0, 0, 10) for i in range(4000)]
+    m = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    labels = spark.createDataFrame([(i, 0 if i % 10 == 0 else 1) for i in range(4000)], "doc_id long, quality int")
+    chosen = quality_rules.cutoffs(m, labels)
+    assert {r.rule: (r.k_good, r.k_bad) for r in chosen.collect()}["symbol_share"] == (0, 400)
+    got = quality_rules.verdicts(m, chosen)
+    assert got.where("not kept").count() == 400
+
+
+def test_measures_of_odd_texts(odd, nothing, spark):
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality_rules.apply_rules(odd, labels).collect()
+    assert len(got) == odd.count() and all(r.base_failed for r in got if r.n_words < 10) and all(not r.kept for r in got if r.base_failed)
+    assert next(r for r in got if r.doc_id == 6).n_words == 30_000
+    assert quality_rules.apply_rules(nothing, labels).count() == 0
+    again = spark.createDataFrame([(1, " ".join(["a b c d e f"] * 3), "en", "s", 1)], SCHEMA)
+    assert quality_rules.measures(again).first().n_repeat_words == 18
+
+
+# -- 2 --------------------------------------------------------------------------------------------
+
+
+def test_licenses_are_found_where_they_stand(spark, docs, texts, odd, nothing):
+    notices = {k: v[0] for k, v in license_scan.TEMPLATES.items()}
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    for i, t in texts.items():
+        want = {k for k, n in notices.items() if n in t}
+        assert {f.license for f in got[i].findings} == want
+        assert all(t[f.start : f.stop] and f.missing == f.added == 0 for f in got[i].findings)
+    changed = spark.createDataFrame([(1, words(9) + "\nReleased under the old MIT License.\n" + words(9), "en", "s", 1)], SCHEMA)
+    f = license_scan.scan(changed).first().findings
+    assert [(x.license, x.missing, x.added) for x in f] == [("MIT", 0, 1)]
+    assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(nothing).count() == 0
+
+
+# -- 3 --------------------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    s = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(fps):
+    root = {i: i for i in fps}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(fps)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in fps}
+
+
+def test_fingerprints_and_components(spark, sf_dir, texts):
+    got = {r.doc_id: r for r in queries.op3_simhash_near_dedup(spark, sf_dir).collect()}
+    fps = {i: plain_fingerprint(t) for i, t in texts.items()}
+    assert {i: int(r.fingerprint, 16) for i, r in got.items()} == fps
+    assert {i: r.component_id for i, r in got.items()} == plain_components(fps)
+
+
+def test_trees_lose_no_link():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    for _ in range(3):
+        x = np.concatenate((x, x[:400] ^ (np.uint64(1) << rng.integers(0, 64, min(400, len(x)), dtype=np.uint64))))
+    x = np.unique(x)
+    want = np.arange(len(x))
+    i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3)
+    simhash._merge(want, i, j)
+    for leaf in (8, 10_000):
+        label = np.arange(len(x))
+        for mask in simhash.HALVES:
+            tree = simhash.fit_tree(x[::3], mask, 1, leaf)
+            shard, at = simhash.route(x, tree, mask, 1)
+            for s in np.unique(shard):
+                own = at[shard == s]
+                simhash._merge(label, own, own[simhash.forest(x[own], mask, 1, block=16)])
+        assert (label == want).all()
+
+
+def test_components_of_chains_and_hubs(spark):
+    edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (1, 0)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({got[k] for k in range(61)}) == 1 and len({got[k] for k in range(100, 160)}) == 1 and got[0] != got[100]
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_of_odd_tables(odd, nothing):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == odd.count()
+    assert {r.component_id for r in got if r.fp == 0} == {3} and [r.component_id for r in got if r.doc_id is None] == [None]
+    assert simhash.near_duplicates(nothing).count() == 0
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 6, 7, 8]
+
+
+# -- 4 --------------------------------------------------------------------------------------------
+
+
+def test_rollup_adds_takes_back_and_commits_once(spark, tmp_path, odd):
+    r = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    enc = token_counts.load_tokenizer(token_counts.TOKENIZER_PATH)
+    cols = "doc_id long, op string, source string, lang string, text string"
+    first = spark.createDataFrame([(1, "insert", "a", "en", "one two"), (2, "insert", "a", "en", "three"), (3, "insert", None, None, None)], cols)
+    assert r.totals().count() == 0
+    assert r.commit("b1", first) and not r.commit("b1", first)
+    assert r.commit("b2", spark.createDataFrame([(2, "delete", None, None, None), (1, "revise", "b", "en", "one two three"), (99, "delete", None, None, None)], cols))
+    got = {(x.source, x.lang): (x.docs, x.tokens, x.chars) for x in r.totals().collect()}
+    assert got == {("b", "en"): (1, len(enc.encode_ordinary("one two three")), 13), (None, None): (1, 0, 0)}
+    with pytest.raises(Exception, match="unknown op"):
+        r.commit("b3", spark.createDataFrame([(1, "upsert", None, None, None)], cols))
+    assert r.batches() == ["b1", "b2"]
+    assert r.commit("b4", odd.withColumn("op", F.lit("insert"))) and r.commit("b5", first.limit(0))
+
+
+# -- 5 --------------------------------------------------------------------------------------------
+
+
+def test_classifier_on_the_held_out_fold(spark, sf_dir, odd, nothing):
+    larger = sf_dir.replace("sf0.001", "sf0.01")  # some 80 held-out labels
+    got = queries.op5_quality_classifier(spark, larger).join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").where("held_out")
+    assert got.where("predicted = quality").count() >= 0.95 * got.count() > 0
+    m = quality_fm.fit(odd, spark.createDataFrame([(1, 1), (2, 0), (6, None)], "doc_id long, quality int"))
+    rows = quality_fm.score(odd, m).collect()
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+    assert quality_fm.keep_good(odd, m).columns == odd.columns and quality_fm.score(nothing, m).count() == 0
+    none = quality_fm.fit(nothing, spark.createDataFrame([], "doc_id long, quality int"))
+    assert none.constant == 0.5
+
+
+def test_sum_of_squares_identity():
+    rng = np.random.default_rng(0)
+    m = quality_fm.Machine(4, 0.3, rng.normal(size=26).astype(np.float32), rng.normal(size=(26, 3)).astype(np.float32))
+    i, x = np.array([1, 4, 20, 25]), rng.normal(size=4).astype(np.float32)
+    pairs = sum(m.v[i[a]] @ m.v[i[b]] * x[a] * x[b] for a in range(4) for b in range(a + 1, 4))
+    assert quality_fm.raw_scores(m, [(i, x)])[0] == pytest.approx(0.3 + m.w[i] @ x + pairs, rel=1e-4)
+
+
+# -- 6 --------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def lattice():
+    return piece_sampling.Lattice(piece_sampling.load_pieces(piece_sampling.MODEL_PATH, 4.0))
+
+
+def test_samples_are_distinct_and_decode(lattice, texts):
+    some = sorted(texts.items())[:40] + [(900, ""), (901, "a"), (902, "é\n\n 漢 \U0001f600  x"), (903, "\n"), (904, " "), (905, "q" * 3000)]
+    for (_, t), r in zip(some, piece_sampling.sample_texts([t for _, t in some], [i for i, _ in some], 3, lattice), strict=True):
+        ids = [tuple(x.tolist()) for x in r["ids"]]
+        assert len(set(ids)) == len(ids) == r["n_segmentations"] >= 1
+        assert all(piece_sampling.decode(x, lattice.pieces) == t for x in ids)
+        assert r["perturbed"] == sorted(r["perturbed"], reverse=True)
+
+
+def test_samples_follow_the_lattice(lattice):
+    """First samples and inclusion against all segmentations' exact chances."""
+    n, k = 6000, 2
+    rows = piece_sampling.sample_texts(["then a"] * n, list(range(n)), k, lattice)
+    chance: dict = {}
+    for r in piece_sampling.sample_texts(["then a"], [1], 500, lattice):
+        chance = {tuple(i.tolist()): math.exp(p) for i, p in zip(r["ids"], r["log_p"], strict=True)}
+    assert sum(chance.values()) == pytest.approx(1, abs=1e-5)
+    first, inside = Counter(), Counter()
+    for r in rows:
+        first[tuple(r["ids"][0].tolist())] += 1
+        inside.update(tuple(i.tolist()) for i in r["ids"])
+    exact = Counter()
+    for a, b in permutations(chance, 2):
+        q = chance[a] * chance[b] / (1 - chance[a])
+        exact[a] += q
+        exact[b] += q
+    for s in sorted(chance, key=chance.get)[-6:]:
+        for got, want in ((first[s] / n, chance[s]), (inside[s] / n, exact[s])):
+            assert abs(got - want) < 5 * math.sqrt(want * (1 - want) / n) + 1e-9
+
+
+def test_samples_depend_on_key_and_text_alone(lattice, texts):
+    t = [x for _, x in sorted(texts.items())[:30]]
+    together = piece_sampling.sample_texts(t, list(range(30)), 2, lattice)
+    fresh = piece_sampling.Lattice(lattice.pieces)
+    for i in (0, 7, 29):
+        alone = piece_sampling.sample_texts([t[i]], [i], 2, fresh)[0]
+        assert [x.tolist() for x in alone["ids"]] == [x.tolist() for x in together[i]["ids"]]
+
+
+def test_units_cover_the_models_normal_form(texts):
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=piece_sampling.MODEL_PATH)
+    for t in [*list(texts.values())[:20], "a  b", " a\n\nb ", "\n", " "]:
+        units = piece_sampling.units_of(t)
+        joined = "".join(u if u == "\n" else u[1:] if u[:1] == piece_sampling.GLUE else piece_sampling.BLANK + u for u in units)
+        assert joined == m.normalize(t)
+
+
+def test_sampling_odd_tables(spark, odd, nothing):
+    rows = piece_sampling.sample_digests(odd).collect()
+    assert len(rows) == odd.count() and all(r.round_trip for r in rows)
+    assert piece_sampling.sample_segmentations(nothing).count() == 0
+    assert piece_sampling.encode(odd).count() == odd.count()
+
+
+# -- 7 --------------------------------------------------------------------------------------------
+
+
+def plain_repeats(rows, length):
+    seen, out = set(), []
+    for i, t in rows:
+        d = (t or "").encode()
+        gone = np.zeros(len(d), bool)
+        for p in range(len(d) - length + 1):
+            s = d[p : p + length]
+            if s in seen:
+                gone[p : p + length] = True
+            seen.add(s)
+        out.append((i, len(d), int(gone.sum()), len(suffix_dedup.runs_of(gone)), hashlib.sha256(np.frombuffer(d, np.uint8)[~gone].tobytes()).hexdigest()))
+    return out
+
+
+def as_rows(df):
+    return sorted((tuple(r)[:5] for r in df.collect()), key=repr)
+
+
+def test_repeats_as_by_brute_force(docs, texts):
+    assert as_rows(suffix_dedup.remove_repeats(docs, shard_bytes=3000, group_bytes=20_000)) == sorted(plain_repeats(sorted(texts.items()), 100), key=repr)
+
+
+def test_repeats_in_periodic_and_small_alphabets(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, "a" * 500), (2, "ab" * 300), (3, "b" + "ab" * 200), (4, "x" * 99), (5, "y" * 100)]
+    rows += [(10 + k, "".join(rng.choice(list("ab"), 400)) + "c" * int(rng.integers(0, 150))) for k in range(12)]
+    rows += [(40 + k, rows[5 + k % 3][1][k : 300 + k] + "é" * 30 + rows[6][1][50:200]) for k in range(12)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    assert as_rows(suffix_dedup.remove_repeats(df, shard_bytes=700, group_bytes=100_000)) == sorted(plain_repeats(sorted(rows), 100), key=repr)
+
+
+def test_suffix_array_and_common_prefixes():
+    data = np.frombuffer(b"mississippi$missing$mississippi" + bytes(20), np.uint8)
+    order, _, _ = suffix_dedup.suffix_array(data, 20)
+    raw = data.tobytes() + bytes(20)  # past its end the data counts as zeros
+    cut = [raw[i : i + 20] for i in order]
+    assert cut == sorted(cut)
+    lcp = suffix_dedup.common_prefixes(data, order, 20)
+    for k in range(1, len(order)):
+        a, b = raw[order[k - 1] :], raw[order[k] :]
+        n = next((i for i in range(min(len(a), len(b), 20)) if a[i] != b[i]), min(len(a), len(b), 20))
+        assert lcp[k] == min(n, len(data) - max(order[k - 1 : k + 1]))
+
+
+def test_repeats_in_odd_tables(odd, nothing):
+    rows = sorted(((r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0] or 0, hashlib.sha256((x[1] or "").encode()).hexdigest()))
+    assert as_rows(suffix_dedup.remove_repeats(odd)) == sorted(plain_repeats(rows, 100), key=repr)
+    assert suffix_dedup.remove_repeats(nothing).count() == 0
+
+
+# -- 8 --------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train_forest(secret_scan.labelled_findings(spark))
+
+
+def test_forest_on_findings_it_has_not_seen(spark, forest):
+    f = secret_scan.labelled_findings(spark, 8000).join(secret_scan.labelled_findings(spark, 6000), ["run", "before", "after", "path"], "left_anti")
+    p = secret_scan.forest_expression(forest, secret_scan.feature_columns(F.col("run"), F.col("before"), F.col("after"), F.col("path")))
+    got = f.select("label", (p >= 0.5).cast("int").alias("hit"))
+    assert got.where("label = hit").count() >= 0.97 * got.count() > 0
+
+
+def test_secrets_are_masked_and_other_runs_stay(spark, forest, odd, nothing):
+    key = hashlib.sha1(b"k").hexdigest()
+    text = f'é the token = "{key}" and card 4111111111111111 commit {hashlib.sha1(b"c").hexdigest()} end'
+    df = spark.createDataFrame([(1, text, "en", "src1", len(text))], SCHEMA)
+    r = secret_scan.scan(df, forest).first()
+    assert [text[s.start : s.stop] for s in r.spans] == [key] and r.n_candidates == 3
+    assert r.redacted == text.replace(key, secret_scan.MASK)
+    out = secret_scan.redact(df, forest).first()
+    assert out.text == r.redacted and out.n_chars == len(out.text)
+    assert secret_scan.scan(odd, forest).count() == odd.count() and secret_scan.scan(nothing, forest).count() == 0
+    assert secret_scan.redact(odd, forest).columns == odd.columns
+
+
+# -- 9 --------------------------------------------------------------------------------------------
+
+
+def test_table_is_even_and_moves_little():
+    names = [f"s{k}" for k in range(20)]
+    a = sharding.fill_table(names, 2003)
+    sizes = Counter(a)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    fewer = sharding.fill_table(names[:-1], 2003)
+    left = sorted(names)
+    kept = sorted(names[:-1])
+    moved = sum(left[x] != kept[y] for x, y in zip(a, fewer, strict=True) if left[x] != names[-1])
+    assert moved < 0.15 * 2003
+    with pytest.raises(ValueError):
+        sharding.fill_table(names, 2000)
+
+
+def test_placement_of_odd_tables(odd, nothing):
+    got = sharding.place(odd, "doc_id", ["a", "b", "c"])
+    assert got.count() == odd.count() and got.where("shard is null").count() == 0
+    assert sharding.place(nothing, "doc_id", ["a"]).count() == 0
+
+
+# -- 10 -------------------------------------------------------------------------------------------
+
+
+def test_contamination_rule_and_original_offsets(spark, odd, nothing):
+    bench = spark.createDataFrame([(1, words(20)), (2, "Só três Palavras"), (3, None), (4, "!!"), (5, words(20))], BENCH)
+    t = "Intro!! W0, " + ", ".join(f"W{k}" for k in range(1, 14)) + "; só TRêS palavras. " + words(30, 500)
+    df = spark.createDataFrame([(1, t, "en", "s", 1), (2, words(12), "en", "s", 1), (3, words(13) + " " + words(400, 900), "en", "s", 1)], SCHEMA)
+    got = {r.doc_id: r for r in decontam.with_verdict(decontam.hits(df, bench)).collect()}
+    assert [t[s.start : s.stop] for s in got[1].spans] == [t[8 : t.index(". w500")]]
+    assert (got[1].n_hit, got[1]["items"], got[1].contaminated) == (17, [1, 2, 5], True)
+    assert (got[2].n_hit, got[3].n_hit, got[3].contaminated) == (0, 13, False)
+    assert [r.doc_id for r in decontam.keep_clean(df, bench).orderBy("doc_id").collect()] == [2, 3]
+    parts = {r.doc_id: r for r in decontam.with_verdict(decontam.hits(df, bench, max_bytes=30)).collect()}
+    assert {i: (r.n_hit, r["items"], r.spans, r.contaminated) for i, r in parts.items()} == {i: (r.n_hit, r["items"], r.spans, r.contaminated) for i, r in got.items()}
+    assert [r.doc_id for r in decontam.keep_clean(df, bench, max_bytes=30).orderBy("doc_id").collect()] == [2, 3]
+    assert decontam.hits(odd, bench).count() == odd.count() and decontam.hits(nothing, bench).count() == 0
+    assert decontam.hits(odd, bench.limit(0)).count() == odd.count()
+
+
+# -- pipeline -------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, sf_dir, docs, texts):
+    at = docs
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, sf_dir)
+        rows = at.collect()
+        seen[name] = rows
+        if name != "tokenize":
+            assert tuple(at.columns) == DOCUMENT_COLUMNS
+            at = spark.createDataFrame(rows, docs.schema)
+    scored = {r.doc_id for r in queries.op5_quality_classifier(spark, sf_dir).where("predicted = 1").collect()}
+    assert {r.doc_id for r in seen["quality"]} == scored
+    comp = plain_components({i: plain_fingerprint(texts[i]) for i in scored})
+    assert {r.doc_id for r in seen["near_dedup"]} == set(comp.values())
+    bad = {r.doc_id for r in queries.op10_benchmark_decontamination(spark, sf_dir).where("contaminated").collect()}
+    assert {r.doc_id for r in seen["decontaminate"]} == set(comp.values()) - bad
+    assert len(seen["secrets"]) == len(seen["tokenize"]) == len(seen["decontaminate"]) and all(r.round_trip for r in seen["tokenize"])
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(r.doc_id for r in seen["tokenize"])

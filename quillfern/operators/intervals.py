@@ -37,8 +37,9 @@ def nearest_asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: st
     # Before a left row of the same time stand all right rows of that time; the smallest id of the latest time is wanted.
     order = W.partitionBy(*keys).orderBy("__t", "__left", F.desc(F.col("__r.id")))
     back = F.last("__r", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    fwd = W.partitionBy(*keys).orderBy("__t", "__left", F.col("__r.id"))
-    ahead = F.first("__r", ignorenulls=True).over(fwd.rowsBetween(1, W.unboundedFollowing))
+    # What comes first ahead is what came last in reverse order: a running frame, unlike one to UNBOUNDED FOLLOWING.
+    fwd = W.partitionBy(*keys).orderBy(F.desc("__t"), F.desc("__left"), F.desc(F.col("__r.id")))
+    ahead = F.last("__r", ignorenulls=True).over(fwd.rowsBetween(W.unboundedPreceding, -1))
     both = both.withColumn("__b", back).withColumn("__a", ahead).where("__left")
     pick = F.when(F.col("__b").isNull(), F.col("__a")).when(F.col("__a").isNull() | (F.col("__t") - F.col("__b.at") <= F.col("__a.at") - F.col("__t")), F.col("__b")).otherwise(F.col("__a"))
     return both.withColumn("__p", pick).select(*cols, F.col("__p.id").alias(f"{name}_id"), F.col("__p.at").alias(f"{name}_at"))
@@ -52,8 +53,8 @@ def forward_asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: st
         if c not in keys:
             other = other.withColumn(c, F.lit(None).cast(left.schema[c].dataType))
     both = left.withColumn("__t", F.col(left_at).cast("long")).withColumn("__r", F.lit(None).cast("long")).withColumn("__left", F.lit(True)).unionByName(other)
-    w = W.partitionBy(*keys).orderBy("__t", "__left").rowsBetween(1, W.unboundedFollowing)
-    both = both.withColumn("__n", F.first("__r", ignorenulls=True).over(w)).where("__left")
+    w = W.partitionBy(*keys).orderBy(F.desc("__t"), F.desc("__left")).rowsBetween(W.unboundedPreceding, -1)
+    both = both.withColumn("__n", F.last("__r", ignorenulls=True).over(w)).where("__left")
     return both.select(*cols, F.when(F.col("__n") - F.col(left_at) <= tolerance, F.col("__n")).alias(f"{name}_at"))
 
 

@@ -19,6 +19,13 @@ def over(keys: str | list[str], order: str | list[str]) -> W:
     return W.partitionBy(*_names(keys)).orderBy(*_names(order))
 
 
+def following(keys: str | list[str], order: str | list[str], first: int = 1) -> W:
+    """The rows from `first` after the current one to the end, as a running frame in reverse order: such a frame grows by a row at a time, where
+    one that ends at UNBOUNDED FOLLOWING is computed anew for every row. What comes first ahead is `last` here.
+    """
+    return W.partitionBy(*_names(keys)).orderBy(*(F.desc(c) for c in _names(order))).rowsBetween(W.unboundedPreceding, -first)
+
+
 def edges(df: DataFrame, keys, order, flag: str) -> DataFrame:
     """rising, falling: the flag turns on at a row, or a row is the last before it turns off; outside the series it is off."""
     w = over(keys, order)
@@ -102,7 +109,7 @@ def forward_stretch(df: DataFrame, keys, index: str, active: str, valley: str, f
     """From the last frame of a run up to the next valley strictly after it, if that is at most frames away, frames become active (the valley's own stays)."""
     w = over(keys, index)
     falling = F.col(active) & ~F.coalesce(F.lead(active).over(w), F.lit(False))
-    nxt = F.min(F.when(F.col(valley), F.col(index))).over(w.rowsBetween(1, W.unboundedFollowing))
+    nxt = F.min(F.when(F.col(valley), F.col(index))).over(following(keys, index))
     df = df.withColumn("__to", F.when(falling & (nxt - F.col(index) <= frames), nxt))
     reach = F.max("__to").over(w.rowsBetween(W.unboundedPreceding, 0))
     return df.withColumn(name, F.col(active) | F.coalesce(F.col(index) < reach, F.lit(False))).drop("__to")
@@ -116,14 +123,14 @@ def forward_fill(df: DataFrame, keys, order, value: str, default: Column | None
 def interpolate_gaps(df: DataFrame, keys, order, start: str, end: str) -> DataFrame:
     """Rows without times between anchored rows p and q divide [p.end, q.start] evenly; runs at the ends stay null."""
     w = over(keys, order)
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), following(keys, order, 0)
     df = df.withColumn("__i", F.row_number().over(w))
     known = F.col(start).isNotNull()
     df = df.withColumns({
         "__p": F.last(F.when(known, F.col(end)), ignorenulls=True).over(back),
-        "__q": F.first(F.when(known, F.col(start)), ignorenulls=True).over(ahead),
+        "__q": F.last(F.when(known, F.col(start)), ignorenulls=True).over(ahead),
         "__pi": F.last(F.when(known, F.col("__i")), ignorenulls=True).over(back),
-        "__qi": F.first(F.when(known, F.col("__i")), ignorenulls=True).over(ahead),
+        "__qi": F.last(F.when(known, F.col("__i")), ignorenulls=True).over(ahead),
     })
     step = (F.col("__q") - F.col("__p")) / (F.col("__qi") - F.col("__pi") - 1)
     j = F.col("__i") - F.col("__pi")
@@ -136,7 +143,7 @@ def range_fill(df: DataFrame, keys, order, ids: str, last_id: Column, name: str
     w = over(keys, order)
     some = F.size(F.coalesce(F.col(ids), F.array().cast("array<int>"))) > 0
     a = F.coalesce(F.last(F.when(some, F.array_max(ids)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
-    b = F.coalesce(F.first(F.when(some, F.array_min(ids)), ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)), last_id)
+    b = F.coalesce(F.last(F.when(some, F.array_min(ids)), ignorenulls=True).over(following(keys, order, 0)), last_id)
     df = df.withColumn("__a", a.cast("int")).withColumn("__b", b.cast("int"))
     return df.withColumn(name, F.when(some, F.col(ids)).when(F.col("__a") <= F.col("__b"), F.sequence("__a", "__b")).otherwise(F.array().cast("array<int>"))).drop("__a", "__b")
 

@@ -249,7 +249,7 @@ def anchor_bounds(spark, sf_dir):
 
 @query("later_minimum", N_SQL + " select event_id, user_id, min(value) over (partition by user_id order by i rows between 1 following and unbounded following) as later_min from n")
 def later_minimum(spark, sf_dir):
-    w = S.over("user_id", ["us", "event_id"]).rowsBetween(1, W.unboundedFollowing)
+    w = S.following("user_id", ["us", "event_id"])
     return events(spark, sf_dir).select("event_id", "user_id", F.min("value").over(w).alias("later_min"))
 
 

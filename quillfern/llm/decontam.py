@@ -5,8 +5,10 @@ characters, joined by single blanks. Every window of 13 consecutive item words (
 words, but not none, is one window) is a pattern of the automaton, which reads each document once.
 Hits become word positions and, through the byte offsets of the words, spans of the original text.
 
-The automaton's patterns are broadcast. Their size is measured first; items beyond max_bytes of
-normalised text go into further automata of that bound, whose hits are merged per document.
+The items are broadcast. Their size is measured first; those beyond max_bytes of text go into further
+automata of that bound, whose hits are merged per document. A worker process builds an automaton once
+and holds one at a time; it takes about 160 times the bytes of its items (measured: 162 MB for 1 MB of
+random words, 320 MB for 2 MB), so max_bytes bounds a worker's memory too.
 
 Defined cases: null or empty texts have no words and are never contaminated; null items and items
 without words are ignored; items of the same text all count; repeated rows each get a row; an empty
@@ -15,6 +17,7 @@ benchmark hits nothing. Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from quillfern.llm.common import id_and_text, stash, text_slices
 
 WINDOW = 13
+#: First code points of a word code's two characters, and the code of words that no item holds.
+HIGH, LOW, NO_WORD = 0x10000, 0x20000, "  "
 #: A-Z to a-z; ASCII characters that are neither letters nor digits to blanks; bytes of non-ASCII characters stay.
 FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
 
@@ -34,42 +39,60 @@ def folded_words(text: str) -> list[bytes]:
     return text.encode().translate(FOLD).split()
 
 
-def windows(words: list[bytes], size: int = WINDOW) -> Iterator[bytes]:
+def windows(words: list, size: int = WINDOW) -> Iterator[list]:
     for i in range(max(1, len(words) - size + 1) if words else 0):
-        yield b" ".join(words[i : i + size])
+        yield words[i : i + size]
 
 
-def build_automaton(items: list[tuple[int, str]], size: int = WINDOW):
-    """The automaton of all windows, each with the items that hold it and its number of words; None if there is no window."""
-    import ahocorasick
+class Patterns:
+    """The automaton of all windows of a group of items, over codes of words.
 
-    found: dict[bytes, set[int]] = {}
-    for item, text in items:
-        for w in windows(folded_words(text or ""), size):
-            found.setdefault(w, set()).add(item)
-    if not found:
-        return None
-    automaton = ahocorasick.Automaton()
-    for w, ids in found.items():
-        # Latin-1 makes one character of each byte; the blanks around keep hits at word ends.
-        automaton.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(sorted(ids))))
-    automaton.make_automaton()
-    return automaton
+    A word's code is two characters, the quotient and the remainder of its number by about the root of the vocabulary, from alphabets
+    that do not meet: hits lie at word starts, a window takes 26 nodes however long its words are, and no node
+    has more children than that root, which matters as the automaton looks through them one by one.
+    """
 
+    def __init__(self, items: list[tuple[int, str]], size: int = WINDOW):
+        import ahocorasick
 
-def scan(text: str, automaton) -> tuple[int, list[tuple[int, int]], list[int]]:
+        folded = [(item, folded_words(text or "")) for item, text in items]
+        known = dict.fromkeys(w for _, words in folded for w in words)
+        base = int(len(known) ** 0.5) + 1
+        self.code = {w: chr(HIGH + n // base) + chr(LOW + n % base) for n, w in enumerate(known)}
+        self.automaton = ahocorasick.Automaton() if known else None
+        for item, words in folded:
+            codes = [self.code[w] for w in words]
+            value = (min(len(words), size), (item,))  # one object for all windows of the item
+            for w in map("".join, windows(codes, size)):
+                held = self.automaton.get(w, None)
+                if held is None:
+                    self.automaton.add_word(w, value)
+                elif item not in held[1]:
+                    self.automaton.add_word(w, (value[0], (*held[1], item)))
+        if known:
+            self.automaton.make_automaton()
+
+
+_BUILT: dict[str, Patterns] = {}
+
+
+def built(name: str, items: list[tuple[int, str]]) -> Patterns:
+    """The patterns of a broadcast group, made once per worker process; one group is held at a time."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Patterns(items)
+    return _BUILT[name]
+
+
+def scan(text: str, patterns: Patterns) -> tuple[int, list[tuple[int, int]], list[int]]:
     """Number of words, merged runs of hit words (first and last position) and the items with occurring windows."""
     words = folded_words(text)
-    if automaton is None or not words:
-        return len(words), [], []
-    line = b" " + b" ".join(words) + b" "
-    ends = list(automaton.iter(line.decode("latin-1")))
-    if not ends:
+    if patterns.automaton is None or not words:
         return len(words), [], []
-    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)  # word k lies between blanks k and k + 1
-    last = np.searchsorted(blanks, [e for e, _ in ends]) - 1
+    code = patterns.code
+    ends = list(patterns.automaton.iter("".join([code.get(w, NO_WORD) for w in words])))
     runs: list[list[int]] = []
-    for a, b in sorted((int(k) - n + 1, int(k)) for k, (_, (n, _)) in zip(last, ends, strict=True)):
+    for a, b in sorted((e // 2 - n + 1, e // 2) for e, (n, _) in ends):
         if runs and a <= runs[-1][1] + 1:
             runs[-1][1] = max(runs[-1][1], b)
         else:
@@ -104,7 +127,7 @@ def item_groups(benchmark: DataFrame, item_id: str, text: str, max_bytes: int) -
     return groups
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_bytes: int = 32_000_000) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_bytes: int = 2_000_000) -> DataFrame:
     """One row per document: its number of words, hit runs of words, their spans in the original text, and the items found."""
     spark = docs.sparkSession
     wanted = id_and_text(docs, doc_id, text)
@@ -116,16 +139,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     for group in groups:
         patterns = spark.sparkContext.broadcast(group)
 
-        def look(batches, patterns=patterns, numbered=len(groups) > 1):
+        def look(batches, patterns=patterns, name=uuid.uuid4().hex, numbered=len(groups) > 1):
             import pyarrow as pa
 
-            automaton = build_automaton(patterns.value)
+            found = built(name, patterns.value)
             kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("words", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("items", pa.list_(pa.int64()))] + [("row", pa.int64())] * numbered)
             for batch in batches:
                 rows = batch.column(2).to_pylist() if numbered else None
                 done = 0
                 for ids, texts in text_slices([batch]):
-                    out = [(i, *scan(t, automaton), t) for i, t in zip(ids, texts, strict=True)]
+                    out = [(i, *scan(t, found), t) for i, t in zip(ids, texts, strict=True)]
                     columns = {
                         "doc_id": [o[0] for o in out],
                         "n_words": [o[1] for o in out],
@@ -167,7 +190,7 @@ def with_verdict(found: DataFrame) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bytes: int = 32_000_000) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bytes: int = 2_000_000) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated. With one automaton no shuffle; with several, rows are found again by their place in a written table."""
     groups = item_groups(benchmark, "item_id", "text", max_bytes)
     if len(groups) > 1:
@@ -175,17 +198,18 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         bad = with_verdict(hits(named.select(F.col("__row").alias("doc_id"), F.col(text).alias("text")), benchmark, max_bytes=max_bytes)).where("contaminated").select(F.col("doc_id").alias("__row"))
         return named.join(bad, "__row", "left_anti").select(*docs.columns)
     patterns = docs.sparkSession.sparkContext.broadcast(groups[0])
+    name = uuid.uuid4().hex
     at = docs.columns.index(text)
 
     def each(batches):
         import pyarrow as pa
 
-        automaton = build_automaton(patterns.value)
+        found = built(name, patterns.value)
         for batch in batches:
             keep = []
             for _, texts in text_slices([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["i", "t"])]):
                 for t in texts:
-                    n, runs, _ = scan(t, automaton)
+                    n, runs, _ = scan(t, found)
                     hit = sum(b - a + 1 for a, b in runs)
                     keep.append(not (hit > 0 and 20 * hit >= n))
             yield batch.filter(pa.array(keep, pa.bool_()))

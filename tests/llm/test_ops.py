@@ -424,3 +424,31 @@ def test_pipeline_stages(spark, sf_dir, docs, texts):
     assert {r.doc_id for r in seen["decontaminate"]} == set(comp.values()) - bad
     assert len(seen["secrets"]) == len(seen["tokenize"]) == len(seen["decontaminate"]) and all(r.round_trip for r in seen["tokenize"])
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(r.doc_id for r in seen["tokenize"])
+
+
+def test_automaton_matches_brute_force_on_few_words():
+    import random
+
+    from quillfern.llm import decontam
+
+    rng = random.Random(3)
+    for n_words in (1, 2, 3, 40):
+        draw = lambda n: " ".join(f"w{rng.randrange(n_words)}" for _ in range(n))  # noqa: B023, E731
+        items = [(i, draw(n)) for i, n in enumerate((0, 1, 2, 5, 12, 13, 14, 30, 30))] + [(9, None)]
+        items.append((10, items[7][1]))
+        patterns = decontam.Patterns(items)
+        for n in (0, 1, 5, 13, 60):
+            text = draw(n) + " other " + draw(4) + (f" {items[8][1]} é" if n == 60 else "")
+            words = text.split()
+            hit, found = set(), set()
+            for i, t in items:
+                own = (t or "").split()
+                size = min(13, len(own))
+                held = {tuple(own[k : k + size]) for k in range(len(own) - size + 1)} if own else set()
+                for k in range(len(words) - size + 1):
+                    if own and tuple(words[k : k + size]) in held:
+                        hit.update(range(k, k + size))
+                        found.add(i)
+            count, runs, ids = decontam.scan(text, patterns)
+            assert count == len(words) and ids == sorted(found)
+            assert {k for a, b in runs for k in range(a, b + 1)} == hit

@@ -117,3 +117,30 @@ def latin_fold(c: Column) -> Column:
     """Lower-case Latin letters and white space: common accents folded, ß as ss, other characters dropped."""
     c = F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), "ß", "ss")
     return F.regexp_replace(c, r"[^a-z\s]", "")
+
+
+def rgba(c: Column) -> Column:
+    """Red, green, blue (0 to 255) and alpha (0 to 1, two places) of a colour like #A0B1C2 or #A0B1C2D4; missing digits are F, what is no colour gives null."""
+    digits = F.rpad(F.ltrim(c, F.lit("#")), 8, "F")
+    n = F.when(digits.rlike("^[0-9A-Fa-f]{8}$"), F.conv(digits, 16, 10).cast("long"))
+    part = lambda shift: F.shiftright(n, shift).bitwiseAND(F.lit(255))
+    return F.when(n.isNotNull(), F.struct(part(24).alias("red"), part(16).alias("green"), part(8).alias("blue"), F.round(part(0) / 255, 2).alias("alpha")))
+
+
+def file_name(c: Column) -> Column:
+    """The last part of a path or address, without query and fragment."""
+    return F.regexp_extract(F.regexp_replace(c, r"[?#].*$", ""), r"([^/]*)/*$", 1)
+
+
+def suffix(name: Column) -> Column:
+    """The last extension of a file name, dot included; none for names that only start with a dot."""
+    return F.regexp_extract(name, r"[^.].*?(\.[^.]+)$", 1)
+
+
+def stem(name: Column) -> Column:
+    return F.left(name, F.length(name) - F.length(suffix(name)))
+
+
+def palette_index(i: Column, n: Column, size: int) -> Column:
+    """The palette entry of line i of n, from 0, so that the palette is spread over all lines."""
+    return F.least(F.lit(size - 1), F.floor(i / n * size).cast("int"))

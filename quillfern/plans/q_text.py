@@ -239,3 +239,29 @@ def char_span_scores(spark, sf_dir):
     w = W.partitionBy("item_id").orderBy("i")
     upto = F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))
     return rows.select("item_id", F.col("i").cast("long").alias("word_idx"), (upto - F.col("n")).alias("from_"), upto.alias("to_"), F.round(F.col("n") / F.lit(10.0), 6).alias("score"))
+
+
+@query("hex_rgba", """with c as (select c_custkey, rpad(substr(sha256(c_name), 1, 6 + cast(2 * (c_custkey % 2) as integer)), 8, 'F') as h from customer),
+n as (select c_custkey, cast('0x' || h as bigint) as n from c)
+select c_custkey, n >> 24 as red, (n >> 16) & 255 as green, (n >> 8) & 255 as blue, round((n & 255) / 255.0, 2) as alpha from n""")
+def hex_rgba(spark, sf_dir):
+    digits = F.substr(F.sha2("c_name", 256), F.lit(1), F.lit(6) + (2 * (F.col("c_custkey") % 2)).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.rgba(F.concat(F.lit("#"), digits)).alias("c")).select("c_custkey", "c.*")
+
+
+@query("path_parts", r"""with n as (select page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/*$', 1) as name from pages),
+f as (select page_id, name || case when page_id % 3 = 0 then '.tar.gz' when page_id % 3 = 1 then '.mp4' else '' end as name from n),
+s as (select page_id, name, regexp_extract(name, '[^.].*?(\.[^.]+)$', 1) as suffix from f)
+select page_id, name, left(name, length(name) - length(suffix)) as stem, suffix from s""")
+def path_parts(spark, sf_dir):
+    more = F.when(F.col("page_id") % 3 == 0, ".tar.gz").when(F.col("page_id") % 3 == 1, ".mp4").otherwise("")
+    named = table(spark, sf_dir, "pages").select("page_id", F.concat(T.file_name(F.col("url")), more).alias("name"))
+    return named.select("page_id", "name", T.stem(F.col("name")).alias("stem"), T.suffix(F.col("name")).alias("suffix"))
+
+
+@query("palette_index", """select conv_id, turn, least(4, cast(floor((row_number() over w - 1) / (count(*) over (partition by conv_id)) * 5) as integer)) as colour
+from conversations window w as (partition by conv_id order by turn)""")
+def palette_index(spark, sf_dir):
+    by = W.partitionBy("conv_id")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return rows.select("conv_id", "turn", T.palette_index(F.row_number().over(by.orderBy("turn")) - 1, F.count(F.lit(1)).over(by), 5).alias("colour"))

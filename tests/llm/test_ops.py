@@ -173,6 +173,36 @@ def test_near_duplicates_of_odd_tables(odd, nothing):
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 6, 7, 8]
 
 
+def plain_shingles(text):
+    w = re.split(r"[ \t\n\r\f\v]+", (text or "").strip(" \t\n\r\f\v"))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_keep_one_links_all_pairs_of_similarity_08(spark):
+    rng = np.random.default_rng(4)
+    base = [[f"v{k}" for k in rng.integers(0, 5000, 60)] for _ in range(6)]
+    rows, edited = [], 0
+    for b in base:
+        rows.append(" ".join(b))
+        for n in (1, 1, 1, 2, 2, 3, 9):  # edits at the ends and inside: similarities on both sides of 0.8
+            w = list(b)
+            for at in rng.integers(0, 60, n):
+                w[at] = f"new{(edited := edited + 1)}"
+            rows.append(" ".join(w))
+    rows += [" ".join(b[:30] + [f"t{i}-{k}" for k in range(30)]) for i, b in enumerate(base)]
+    sets = [plain_shingles(t) for t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    want = {min(i for i in range(len(rows)) if root[i] == r) for r in root}
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(rows)], SCHEMA)
+    assert 12 <= len(want) < len(rows) - 6
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+
+
 # -- 4 --------------------------------------------------------------------------------------------
 
 

@@ -1,8 +1,9 @@
 """Secret scans: a random forest removes false positives among candidates, in DataFrame functions only.
 
-Candidates are unbroken runs of at least 16 token characters with a digit. Each has statistics of the run
+Candidates are unbroken runs of at least 16 token characters with a digit; '=' belongs to a run at its end alone, as padding,
+so that a name and its sign stay before it. Each has statistics of the run
 (length, changes of character class, distinct characters, dictionary coverage), of the words
-around it and of the path (here the document's source). A random forest trained from labelled findings
+around it (other candidates included) and of the path (here the document's source). A random forest trained from labelled findings
 gives the share of votes for a secret; its trees become one SQL expression, evaluated inside the text's
 row. So a scan is one pass over the texts without shuffle, join or limit on candidates.
 
@@ -16,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKEN = "A-Za-z0-9_+/=-"
-#: A candidate: whole run of token characters, 16 or more, at least one digit.
-CANDIDATE = f"(?<![{TOKEN}])(?=[{TOKEN}]{{16}})[A-Za-z_+/=-]*[0-9][{TOKEN}]*"
+TOKEN = "A-Za-z0-9_+/-"
+#: A candidate: whole run of token characters, 16 or more, at least one digit, with its padding.
+CANDIDATE = f"(?<![{TOKEN}])(?=[{TOKEN}]{{16}}|[{TOKEN}]{{15}}=(?![{TOKEN}=])|[{TOKEN}]{{14}}==(?![{TOKEN}=]))[A-Za-z_+/-]*[0-9][{TOKEN}]*(?:={{1,2}}(?![{TOKEN}=]))?"
 MASK = "[SECRET]"
 CONTEXT = 48
 
@@ -49,7 +50,7 @@ def feature_columns(run: Column, before: Column, after: Column, path: Column) ->
         "hex_only": flag(run.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "digits_only": flag(run.rlike("^[0-9-]+$")),
         "coverage": (n - F.length(F.regexp_replace(low, _any(DICTIONARY), ""))) / n,
-        "secret_before": flag(left.rlike(_any(SECRET_WORDS) + "[^a-z]*$")),
+        "secret_before": flag(left.rlike(_any(SECRET_WORDS) + "([^a-z]*|s?[_.0-9-][a-z0-9_.-]*[^a-z0-9]*)$")),
         "harmless_before": flag(left.rlike("\\b" + _any(HARMLESS_WORDS) + "[^a-z0-9]*$")),
         "secret_near": flag(F.concat(left, F.lit(" "), right).rlike(_any(SECRET_WORDS))),
         "assigned": flag(left.rlike("[=:]\\W*$")),
@@ -63,7 +64,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
 
     Runs are digests of the row number, so the table is the same everywhere: keys of several
     alphabets behind naming words are secrets; checksums, ids, card and phone numbers, placeholders and
-    identifiers are not.
+    identifiers are not. They are cut by the scan's own pattern from whole lines, a third of which hold a second finding.
     """
     base = spark.range(n).select("id", F.sha2(F.concat(F.lit("f"), "id"), 256).alias("h"), F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("kind"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(97)).cast("int").alias("r"))
     b64 = F.translate(F.base64(F.unhex("h")), "=", "")
@@ -91,7 +92,13 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     )
     plain = F.when(k == 13, F.concat(word, name, sign, quote)).when(k.isin(8, 9, 10, 15), F.concat(word, pick(HARMLESS_WORDS, r), pick((" ", ": ", "="), F.col("id")), quote)).otherwise(word)
     path = F.concat(pick(("src", "docs/", "app/", "tests/", "lib/"), F.col("id") + k), r.cast("string"))
-    return base.select(run.alias("run"), F.when(secret, F.concat(word, name, sign, quote)).otherwise(plain).alias("before"), F.concat(F.when(secret | k.isin(8, 9, 10, 13, 15), quote).otherwise(""), F.lit(" "), word).alias("after"), path.alias("path"), secret.cast("int").alias("label"))
+    before = F.when(secret, F.concat(word, name, sign, quote)).otherwise(plain)
+    after = F.concat(F.when(secret | k.isin(8, 9, 10, 13, 15), quote).otherwise(""), F.lit(" "), word)
+    made = base.select("id", F.concat(before, run, after).alias("line"), path.alias("path"), F.when(secret, run).alias("secret"))
+    second = made.select((F.col("id") - 1).alias("id"), F.col("line").alias("line2"), F.col("secret").alias("secret2")).where("id % 3 = 0")
+    lines = made.join(second, "id", "left").select(F.concat_ws(" ", "line", "line2").alias("line"), "path", F.array_compact(F.array("secret", "secret2")).alias("secrets"))
+    found = _contexts(lines, "line").select(F.explode("__context").alias("c"), "path", "secrets")
+    return found.select("c.run", "c.before", "c.after", "path", F.array_contains("secrets", F.col("c.run")).cast("int").alias("label"))
 
 
 def train_forest(findings: DataFrame, trees: int = 12, depth: int = 5, max_rows: int = 200_000, seed: int = 5):
@@ -123,15 +130,29 @@ def forest_expression(model, values: dict[str, Column]) -> Column:
     return total / len(votes)
 
 
+def _contexts(df: DataFrame, text: str) -> DataFrame:
+    """df with __runs, __gaps (the text between candidates) and __context (run and CONTEXT characters of the text on both sides of each)."""
+    df = df.withColumn("__any", F.col(text).rlike(CANDIDATE))
+    df = df.withColumn("__runs", F.when(F.col("__any"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("__gaps", F.when(F.col("__any"), F.split(text, CANDIDATE)).otherwise(F.array(text)))
+    # A gap and a run have two characters at least, so CONTEXT / 2 of them hold the context; ends alone are joined.
+    n, most = F.lit(CONTEXT), F.lit(CONTEXT // 2)
+    df = df.withColumn("__left", F.transform("__runs", lambda r, i: F.concat(F.right(F.get("__gaps", i), n), F.right(r, n))))
+    df = df.withColumn("__right", F.transform("__runs", lambda r, i: F.concat(F.left(r, n), F.left(F.get("__gaps", i + F.lit(1)), n))))
+
+    def around(r, i):
+        before = F.concat(F.array_join(F.slice("__left", F.greatest(i - most, F.lit(0)) + F.lit(1), F.least(i, most)), ""), F.right(F.get("__gaps", i), n))
+        after = F.concat(F.left(F.get("__gaps", i + F.lit(1)), n), F.array_join(F.slice("__right", i + F.lit(2), most), ""))
+        return F.struct(r.alias("run"), F.right(before, n).alias("before"), F.left(after, n).alias("after"))
+
+    return df.withColumn("__context", F.transform("__runs", around))
+
+
 def _found(df: DataFrame, text: Column, path: Column, model, threshold: float) -> DataFrame:
     """df with __gaps (the text between candidates) and __marks (run, score, secret of each candidate)."""
     t = F.coalesce(text.cast("string"), F.lit(""))
     df = df.withColumn("__text", t).withColumn("__path", F.coalesce(path.cast("string"), F.lit("")))
-    df = df.withColumn("__any", F.col("__text").rlike(CANDIDATE))
-    df = df.withColumn("__runs", F.when(F.col("__any"), F.regexp_extract_all("__text", F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("__gaps", F.when(F.col("__any"), F.split("__text", CANDIDATE)).otherwise(F.array("__text")))
-    context = F.transform("__runs", lambda r, i: F.struct(r.alias("run"), F.right(F.get("__gaps", i), F.lit(CONTEXT)).alias("before"), F.left(F.get("__gaps", i + F.lit(1)), F.lit(CONTEXT)).alias("after")))
-    df = df.withColumn("__context", context)
+    df = _contexts(df, "__text")
     feats = F.transform("__context", lambda c: F.struct(c.run.alias("run"), *(v.alias(f) for f, v in feature_columns(c.run, c.before, c.after, F.col("__path")).items())))
     df = df.withColumn("__features", feats)
     marks = F.transform("__features", lambda x: F.struct(x.run.alias("run"), forest_expression(model, {f: x[f] for f in FEATURES}).alias("score")))

@@ -391,6 +391,19 @@ def test_secrets_are_masked_and_other_runs_stay(spark, forest, odd, nothing):
     assert secret_scan.redact(odd, forest).columns == odd.columns
 
 
+def masked(spark, forest, texts):
+    df = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    return [r.redacted for r in secret_scan.scan(df, forest).orderBy("doc_id").collect()]
+
+
+def test_names_stay_before_the_run(spark, forest):
+    key, other = (hashlib.sha1(c).hexdigest() for c in (b"k", b"o"))
+    padded = "QWxhZGRpbjpvcGVuIHNlc2FtZTEyMw=="
+    forms = [f"token={key}", f"x\nAPI_TOKEN_V2_PRODUCTION_KEY1={key}\ny", f"commit {other} then token={key} end", f"secret={padded} end"]
+    want = [t.replace(key, secret_scan.MASK).replace(padded, secret_scan.MASK) for t in forms]
+    assert masked(spark, forest, forms) == want
+
+
 # -- 9 --------------------------------------------------------------------------------------------
 
 

@@ -1,21 +1,23 @@
 """License scans by conditional compression.
 
-Lines that hold a cue word become candidate blocks (neighbouring ones together, long lines by their
-sentences around the cue). Each block is compressed alone and with each license template as a raw
-zstandard dictionary; templates are ranked by how much smaller that makes it. The best ones are confirmed by
-the exact differences in wording: the words of a template's statement that the block lacks or changes.
-A statement counts as found if at least 0.8 of its words stand in the block in order.
-
-Defined cases: null and empty texts have no blocks; equal reductions rank by license id; a block
-gives each license once; repeated statements give a finding each; repeated rows each get a row; a long
+The words around each cue word, as many on both sides as a statement with its added words can take, become a candidate
+block, whatever their lines; blocks that touch are one, long ones are divided with that overlap. In a block, every
+statement of every template is looked for by its words: it counts as found where at least 0.8 of its words stand in
+order, with at most as many other words between them as it has. Each match is compressed alone and with the license's
+template as a raw zstandard dictionary; the share by which that makes it smaller must be positive and is the order of equals.
+Of matches that overlap, the one with the most words matched less words missing and added wins.
+
+Defined cases: null and empty texts have no blocks; equal matches rank by reduction, then license id; every
+statement found gives a finding with its own span; repeated rows each get a row; a long
 text is searched whole, block by block; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from bisect import bisect_right, insort
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from quillfern.llm.common import id_and_text, text_slices
@@ -52,77 +54,119 @@ CUES = ("licens", "licenc", "copyright", "hereby granted", "redistribution", "wa
 
 FOUND = "doc_id long, n_blocks long, findings array<struct<license:string,start:int,stop:int,reduction:double,missing:int,added:int>>"
 _WORD = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
-_SENTENCE = re.compile(r"[^.;:!?]*(?:[.;:!?](?=\S)[^.;:!?]*)*[.;:!?]?\s*")
+_CUE = re.compile("|".join(CUES), re.IGNORECASE)
+#: Words that a statement takes at most: all of its own and as many added ones.
+REACH = 2 * max(len(_WORD.findall(s)) for v in TEMPLATES.values() for s in v)
 
 
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def blocks(text: str, long_line: int = 1500) -> list[tuple[int, int]]:
-    """Spans of candidate blocks, in order, not overlapping."""
+def has_cue(text: str) -> bool:
     low = text.lower()
-    if len(low) != len(text):  # a few characters change length in lower case: offsets must be the text's own
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    if not any(c in low for c in CUES):
-        return []
+    return any(c in low for c in CUES)
+
+
+def word_blocks(words: list[re.Match], text: str, reach: int = REACH, most: int = 4000) -> list[tuple[int, int]]:
+    """Ranges of words, in order, that are candidate blocks; those of over `most` words are divided with an overlap of `reach`."""
+    starts = [w.start() for w in words]
     out: list[list[int]] = []
-    at = 0
-    for line in low.split("\n"):
-        if any(c in line for c in CUES):
-            parts = [(0, len(line))] if len(line) <= long_line else [m.span() for m in _SENTENCE.finditer(line) if m.end() > m.start()]
-            for a, b in parts:
-                if len(parts) == 1 or any(c in line[a:b] for c in CUES):
-                    if out and at + a <= out[-1][1] + 1 and b - a + out[-1][1] - out[-1][0] <= 4 * long_line:
-                        out[-1][1] = at + b
-                    else:
-                        out.append([at + a, at + b])
-        at += len(line) + 1
-    return [(a, b) for a, b in out]
+    for cue in _CUE.finditer(text):
+        at = bisect_right(starts, cue.start())
+        a, b = max(0, at - 1 - reach), min(len(words), at + reach + len(cue.group().split()))
+        if out and a <= out[-1][1]:
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    step = max(1, most - reach)
+    return [(k, min(b, k + most)) for a, b in out for k in range(a, max(a + 1, b - reach), step)]
+
+
+def blocks(text: str) -> list[tuple[int, int]]:
+    """Spans of candidate blocks, in order."""
+    words = list(_WORD.finditer(text)) if has_cue(text) else []
+    return [(words[a].start(), words[b - 1].end()) for a, b in word_blocks(words, text) if a < b]
 
 
 class Scanner:
-    """Templates as raw dictionaries, and a memo of blocks seen (bounded)."""
+    """Templates as raw dictionaries and coded statements."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, level: int = 3, best: int = 3, share: float = 0.8):
+    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, level: int = 3, share: float = 0.8):
         import zstandard as z
 
         raw = lambda d=None: z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
         self.alone = raw()
         self.with_template = {k: raw(z.ZstdCompressionDict("\n".join(v).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for k, v in sorted(templates.items())}
-        self.wording = {k: [words_of(s) for s in v] for k, v in templates.items()}
-        self.best, self.share = best, share
-        self.memo: dict[str, list] = {}
-
-    def differences(self, block: list[str], statement: list[str]) -> tuple[int, int]:
-        """(missing, added): words of the statement that the block lacks in order, and block words within the matched stretch that the statement lacks."""
-        pieces = [m for m in SequenceMatcher(None, statement, block, autojunk=False).get_matching_blocks() if m.size]
-        if not pieces:
-            return len(statement), 0
-        same = sum(m.size for m in pieces)
-        return len(statement) - same, pieces[-1].b + pieces[-1].size - pieces[0].b - same
-
-    def look(self, block: str) -> list[tuple[str, float, int, int]]:
-        """(license, reduction, missing, added) of the confirmed templates, best first."""
-        if block in self.memo:
-            return self.memo[block]
-        data = block.encode()
-        base = len(self.alone.compress(data))
-        ranked = sorted(((1 - len(c.compress(data)) / base, k) for k, c in self.with_template.items()), key=lambda x: (-x[0], x[1]))
-        words: list[str] = words_of(block)
-        out: list[tuple[str, float, int, int]] = []
-        for reduction, k in ranked[: self.best]:
-            options = [(*self.differences(words, s), len(s)) for s in self.wording[k]]
-            good = [o for o in options if o[0] <= (1 - self.share) * o[2] and o[1] <= o[2]]
-            if good and reduction > 0:
-                missing, added, size = min(good, key=lambda o: (o[0] / o[2], o[1], -o[2]))
-                out.append((k, reduction, missing, added))
-        # A block of one short statement also resembles its relatives: the exact wording decides where one matches in full.
-        exact = [o for o in out if o[2] == 0 and o[3] == 0]
-        result = exact or out[:1]
-        if len(self.memo) < 100_000:
-            self.memo[block] = result
-        return result
+        said = [(k, words_of(s)) for k, v in sorted(templates.items()) for s in v]
+        self.code = {w: i for i, w in enumerate(sorted({w for _, s in said for w in s}))}
+        self.statements = [(k, np.array([self.code[w] for w in s])) for k, s in said if s]
+        self.need = np.array([np.bincount(s, minlength=len(self.code)) for _, s in self.statements])
+        self.may_miss = [int(len(s) * (1 - share) + 1e-9) for _, s in self.statements]
+        self.reach = 2 * max(len(s) for _, s in self.statements)
+        self.memo: dict[tuple[str, str], float] = {}
+
+    def reduction(self, k: str, span: str) -> float:
+        if (k, span) not in self.memo:
+            if len(self.memo) >= 100_000:
+                self.memo.clear()
+            data = span.encode()
+            self.memo[k, span] = 1 - len(self.with_template[k].compress(data)) / len(self.alone.compress(data))
+        return self.memo[k, span]
+
+    def matches(self, block: np.ndarray, statement: np.ndarray, may_miss: int) -> list[tuple[int, int, int, int]]:
+        """(start, stop, missing, added) of the best match that ends at each word of the block, where there is one."""
+        m, n, unit = len(block), len(statement), 1 << 32
+        none = np.int64(1) << 60
+        # least[j, k]: added words times unit, less the start, of the best stretch that ends before word j with k words missing.
+        least = np.full((m + 1, may_miss + 1), none)
+        least[:, 0] = -np.arange(m + 1)
+        ramp = (np.arange(m + 1) * unit)[:, None]
+        for i, w in enumerate(statement):
+            after = np.full_like(least, none)
+            after[:, 1:] = least[:, :-1]  # the word is missing
+            hit = np.flatnonzero(block == w)
+            after[hit + 1] = np.minimum(after[hit + 1], least[hit])
+            least = after if i == n - 1 else np.minimum(np.minimum.accumulate(after - ramp, axis=0) + ramp, none)
+        added = -(-least // unit)
+        out = []
+        for j in np.flatnonzero((added <= n).any(1)).tolist():
+            good = [(n - k - k - int(added[j, k]), -k, k) for k in range(may_miss + 1) if added[j, k] <= n]
+            k = max(good)[2]
+            a = int(added[j, k])
+            out.append((int(a * unit - least[j, k]), j, k, a))
+        return out
+
+    def look(self, text: str) -> tuple[int, list[dict]]:
+        """The number of blocks and the findings, in order of their start."""
+        if not has_cue(text):
+            return 0, []
+        words = list(_WORD.finditer(text))
+        codes = np.array([self.code.get(w.group().lower(), -1) for w in words], np.int64)
+        spans = word_blocks(words, text, self.reach)
+        found = []
+        for a, b in spans:
+            have = np.bincount(codes[a:b][codes[a:b] >= 0], minlength=len(self.code))
+            enough = np.minimum(self.need, have).sum(1)
+            for (k, s), may_miss, same in zip(self.statements, self.may_miss, enough, strict=True):
+                if same < len(s) - may_miss:
+                    continue
+                for start, stop, missing, added in self.matches(codes[a:b], s, may_miss):
+                    begin, end = words[a + start].start(), words[a + stop - 1].end()
+                    found.append((len(s) - 2 * missing - added, k, a + start, a + stop, begin, end, missing, added))
+        return len(spans), self.chosen(found, text)
+
+    def chosen(self, found: list[tuple], text: str) -> list[dict]:
+        """Of matches that overlap the best; what is left, in order."""
+        rated = [(-net, -self.reduction(k, text[begin:end]), k, a, b, begin, end, missing, added) for net, k, a, b, begin, end, missing, added in set(found)]
+        taken: list[tuple[int, int]] = []
+        out = []
+        for _, less, k, a, b, begin, end, missing, added in sorted(rated):
+            at = bisect_right(taken, (a, b))
+            if less < 0 and (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                insort(taken, (a, b))
+                out.append({"license": k, "start": begin, "stop": end, "reduction": -less, "missing": missing, "added": added})
+        return sorted(out, key=lambda x: x["start"])
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
@@ -134,8 +178,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
         scanner = Scanner(templates)
         kind = pa.schema([("doc_id", pa.int64()), ("n_blocks", pa.int64()), ("findings", pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("reduction", pa.float64()), ("missing", pa.int32()), ("added", pa.int32())])))])
         for ids, texts in text_slices(batches):
-            spans = [blocks(t) for t in texts]
-            found = [[{"license": k, "start": a, "stop": b, "reduction": r, "missing": m, "added": d} for a, b in s for k, r, m, d in scanner.look(t[a:b])] for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_blocks": [len(s) for s in spans], "findings": found}, schema=kind)
+            looked = [scanner.look(t) for t in texts]
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_blocks": [n for n, _ in looked], "findings": [f for _, f in looked]}, schema=kind)
 
     return id_and_text(docs, doc_id, text).mapInArrow(each, FOUND)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 from collections import Counter
 from itertools import permutations
 
@@ -101,6 +102,15 @@ def test_licenses_are_found_where_they_stand(spark, docs, texts, odd, nothing):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(nothing).count() == 0
 
 
+@pytest.mark.parametrize("name", ["MIT", "BSD-3-Clause", "Apache-2.0"])
+def test_wrapped_license_files_are_found(name):
+    title, *rest = license_scan.TEMPLATES[name]
+    text = "\n\n".join([title, "Copyright (c) 2020 Ada", *("\n".join("# " + x for x in textwrap.wrap(s, 60)) for s in rest)])
+    n, found = license_scan.Scanner().look(words(300) + "\n" + text + "\n" + words(300))
+    assert n == 1 and {f["license"] for f in found} == {name} and all(f["missing"] == f["added"] == 0 for f in found)
+    assert len(found) >= len(rest)
+
+
 # -- 3 --------------------------------------------------------------------------------------------
 
 

@@ -111,6 +111,16 @@ def test_wrapped_license_files_are_found(name):
     assert len(found) >= len(rest)
 
 
+def test_every_license_of_a_list_is_found_with_its_own_span():
+    notices = [v[0] for v in license_scan.TEMPLATES.values()]
+    text = "\n".join(notices).replace("under the MIT", "under the old MIT").replace("the Unlicense", "the good Unlicense") + "\n" + notices[0]
+    _, found = license_scan.Scanner().look(text)
+    assert [f["license"] for f in found] == [*license_scan.TEMPLATES, "Apache-2.0"]
+    assert [(f["missing"], f["added"]) for f in found] == [(0, int(k in ("MIT", "Unlicense"))) for k in [*license_scan.TEMPLATES, "Apache-2.0"]]
+    lines = text.split("\n")
+    assert all(text[f["start"] : f["stop"]] == x.rstrip(".") for f, x in zip(found, lines, strict=True))
+
+
 # -- 3 --------------------------------------------------------------------------------------------
 
 

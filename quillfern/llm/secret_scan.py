@@ -1,7 +1,8 @@
 """Secret scans: a random forest removes false positives among candidates, in DataFrame functions only.
 
 Candidates are unbroken runs of at least 16 token characters with a digit; '=' belongs to a run at its end alone, as padding,
-so that a name and its sign stay before it. Each has statistics of the run
+so that a name and its sign stay before it. Runs with a known prefix are candidates without a digit, and so is what stands after a
+naming word and a sign, of any length and alphabet: in quotes up to the closing one, else up to a blank, '<', '>' or quote. Each has statistics of the run
 (length, changes of character class, distinct characters, dictionary coverage), of the words
 around it (other candidates included) and of the path (here the document's source). A random forest trained from labelled findings
 gives the share of votes for a secret; its trees become one SQL expression, evaluated inside the text's
@@ -20,15 +21,26 @@ from pyspark.sql import functions as F
 TOKEN = "A-Za-z0-9_+/-"
 #: A candidate: whole run of token characters, 16 or more, at least one digit, with its padding.
 CANDIDATE = f"(?<![{TOKEN}])(?=[{TOKEN}]{{16}}|[{TOKEN}]{{15}}=(?![{TOKEN}=])|[{TOKEN}]{{14}}==(?![{TOKEN}=]))[A-Za-z_+/-]*[0-9][{TOKEN}]*(?:={{1,2}}(?![{TOKEN}=]))?"
+#: The first characters of keys of known services, which need no digit.
+PREFIX = "(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|[sr]k_live_|AIza)"
+PREFIXED = f"(?<![{TOKEN}]){PREFIX}[{TOKEN}]*(?<=[{TOKEN}]{{16}})"
 MASK = "[SECRET]"
 CONTEXT = 48
 
 #: Words that name a secret, words that name something harmless, and dictionary words inside runs.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "auth", "bearer", "credential", "private", "client_secret", "signing")
 HARMLESS_WORDS = ("sha1", "sha256", "sha512", "md5", "commit", "checksum", "integrity", "digest", "etag", "uuid", "guid", "card", "order", "invoice", "phone", "isbn", "version", "revision", "example", "placeholder", "hash", "id")
+#: A name that holds a naming word, with its sign and quote (group 1), then the value.
+NAMED = (
+    "((?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]*?(?=[abcpstABCPST])(?i:" + "|".join(SECRET_WORDS) + ")[sS]?(?:[_.0-9-][A-Za-z0-9_.-]*|[A-Z][A-Za-z0-9]*)?"
+    "[\"']?[ \\t]{0,4}(?::=|=>|={1,3}|:)[ \\t]{0,4}[\"'`]?)"
+    "(?:(?<=\")[^\"\\r\\n]+(?=\")|(?<=')[^'\\r\\n]+(?=')|(?<=`)[^`\\r\\n]+(?=`)"
+    "|[^\\s\"'`<>&;]+(?:[&;](?![A-Za-z0-9_]+=)[^\\s\"'`<>&;]*){0,40}(?<![,.;:)\\]}]))"
+)
+SCANNED = f"{NAMED}|{PREFIXED}|{CANDIDATE}"
 DICTIONARY = ("the", "and", "test", "example", "sample", "dummy", "fake", "your", "here", "change", "token", "secret", "password", "key", "value", "name", "file", "path", "image", "version", "copy", "data", "user", "page", "index", "article", "license", "placeholder", "redacted", "config", "default", "insert", "project", "module", "class", "function", "xxxx", "abcd", "1234", "0000")
 PATH_WORDS = ("test", "example", "sample", "doc", "fixture", "mock", "vendor")
-FEATURES = ("length", "transitions", "distinct_share", "digit_share", "upper_share", "hex_only", "digits_only", "coverage", "secret_before", "harmless_before", "secret_near", "assigned", "quoted", "path_harmless")
+FEATURES = ("length", "transitions", "distinct_share", "digit_share", "upper_share", "hex_only", "digits_only", "coverage", "secret_before", "harmless_before", "secret_near", "assigned", "quoted", "path_harmless", "letters_only", "symbol_share", "prefixed", "reference")
 
 
 def _any(words: tuple[str, ...]) -> str:
@@ -55,6 +67,10 @@ def feature_columns(run: Column, before: Column, after: Column, path: Column) ->
         "secret_near": flag(F.concat(left, F.lit(" "), right).rlike(_any(SECRET_WORDS))),
         "assigned": flag(left.rlike("[=:]\\W*$")),
         "quoted": flag(left.rlike("[\"']$") & right.rlike("^[\"']")),
+        "letters_only": flag(run.rlike("^[\\p{L} ]+$")),
+        "symbol_share": count(run, "[^\\p{L}0-9]") / n,
+        "prefixed": flag(run.rlike("^" + PREFIX)),
+        "reference": flag(run.rlike("^[$<{%(\\[*]|^[a-z_]+[.(]|^(?i:none|null|true|false|undefined|x+)$")),
         "path_harmless": flag(F.lower(F.coalesce(path, F.lit(""))).rlike(_any(PATH_WORDS))),
     }
 
@@ -63,10 +79,10 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     """A table of labelled findings (run, before, after, path, label) in the forms that scanners report.
 
     Runs are digests of the row number, so the table is the same everywhere: keys of several
-    alphabets behind naming words are secrets; checksums, ids, card and phone numbers, placeholders and
-    identifiers are not. They are cut by the scan's own pattern from whole lines, a third of which hold a second finding.
+    alphabets and short passwords with digits or symbols behind naming words are secrets; checksums, ids, card and phone numbers, placeholders,
+    identifiers, references and plain words are not. They are cut by the scan's own pattern from whole lines, a third of which hold a second finding.
     """
-    base = spark.range(n).select("id", F.sha2(F.concat(F.lit("f"), "id"), 256).alias("h"), F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("kind"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(97)).cast("int").alias("r"))
+    base = spark.range(n).select("id", F.sha2(F.concat(F.lit("f"), "id"), 256).alias("h"), F.pmod(F.xxhash64("id"), F.lit(22)).cast("int").alias("kind"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(97)).cast("int").alias("r"))
     b64 = F.translate(F.base64(F.unhex("h")), "=", "")
     digits = F.substring(F.translate("h", "abcdef", "314159"), 1, 16)
     pick = lambda words, by: F.element_at(F.array(*map(F.lit, words)), F.pmod(by, F.lit(len(words))).cast("int") + 1)
@@ -75,7 +91,10 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     name = pick(SECRET_WORDS, r)
     sign = pick((" = ", "=", ": ", " := ", '": '), F.col("id"))
     quote = pick(('"', "'", ""), F.col("id") + r)
-    secret = k < 8
+    secret = (k < 8) | k.between(16, 19)
+    letters = F.translate("h", "0123456789", "ghjkmnopqr")
+    b64s = F.translate(b64, "+/", "xy")
+    length = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(6)).cast("int")
     run = (
         F.when(k < 3, F.substring("h", 1, 40))
         .when(k == 3, F.substring("h", 1, 32))
@@ -88,12 +107,19 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         .when(k < 13, digits)
         .when(k == 13, F.concat(pick(("your_token_here_", "example-key-value-", "xxxxxxxxxxxxxxxx", "placeholder_secret_", "test_password_"), r), F.substring(digits, 1, 2)))
         .when(k == 14, F.concat(pick(("projectModuleIndex", "defaultConfigVersion", "image_file_name_", "pageArticleIndex"), r), F.substring(digits, 1, 3)))
+        .when(k == 16, F.concat(F.substr(letters, F.lit(1), length + 4), F.substring(digits, 1, 2)))
+        .when(k == 17, F.concat(F.substr(b64s, F.lit(1), length + 3), pick(("&", "!", "#", "@", "$", "%", "^", "*"), r), F.substring(b64s, 12, 3), F.substring(digits, 1, 1)))
+        .when(k == 18, F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16))))
+        .when(k == 19, F.concat(F.substr(letters, F.lit(1), length + 3), F.substring(digits, 1, 1), F.substr(letters, F.lit(1), length + 3), F.substring(digits, 1, 1)))
+        .when(k == 20, pick(("none", "null", "True", "required", "${TOKEN}", "<token>", "****", "os.environ", "process.env.TOKEN", "{{token}}", "getenv(x)", "string", "%(token)s", "see", "xxxx", "[hidden]", "12"), r))
+        .when(k == 21, F.substr(letters, F.lit(1), length + 2))
         .otherwise(F.concat_ws("-", F.substring("h", 1, 8), F.substring("h", 9, 4), F.substring("h", 13, 4), F.substring("h", 17, 4), F.substring("h", 21, 12)))
     )
-    plain = F.when(k == 13, F.concat(word, name, sign, quote)).when(k.isin(8, 9, 10, 15), F.concat(word, pick(HARMLESS_WORDS, r), pick((" ", ": ", "="), F.col("id")), quote)).otherwise(word)
+    plain = F.when(k.isin(13, 20, 21), F.concat(word, name, sign, quote)).when(k.isin(8, 9, 10, 15), F.concat(word, pick(HARMLESS_WORDS, r), pick((" ", ": ", "="), F.col("id")), quote)).otherwise(word)
     path = F.concat(pick(("src", "docs/", "app/", "tests/", "lib/"), F.col("id") + k), r.cast("string"))
-    before = F.when(secret, F.concat(word, name, sign, quote)).otherwise(plain)
-    after = F.concat(F.when(secret | k.isin(8, 9, 10, 13, 15), quote).otherwise(""), F.lit(" "), word)
+    bare = k.isin(6, 7, 18) & (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3)) > 0)  # prefixed keys stand without a naming word, too
+    before = F.when(bare, F.concat(word, pick(("aws_key = ", "key: ", "", "id "), r), quote)).when(secret, F.concat(word, name, sign, quote)).otherwise(plain)
+    after = F.concat(F.when(secret | k.isin(8, 9, 10, 13, 15, 20, 21), quote).otherwise(""), F.lit(" "), word)
     made = base.select("id", F.concat(before, run, after).alias("line"), path.alias("path"), F.when(secret, run).alias("secret"))
     second = made.select((F.col("id") - 1).alias("id"), F.col("line").alias("line2"), F.col("secret").alias("secret2")).where("id % 3 = 0")
     lines = made.join(second, "id", "left").select(F.concat_ws(" ", "line", "line2").alias("line"), "path", F.array_compact(F.array("secret", "secret2")).alias("secrets"))
@@ -132,10 +158,14 @@ def forest_expression(model, values: dict[str, Column]) -> Column:
 
 def _contexts(df: DataFrame, text: str) -> DataFrame:
     """df with __runs, __gaps (the text between candidates) and __context (run and CONTEXT characters of the text on both sides of each)."""
-    df = df.withColumn("__any", F.col(text).rlike(CANDIDATE))
-    df = df.withColumn("__runs", F.when(F.col("__any"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("__gaps", F.when(F.col("__any"), F.split(text, CANDIDATE)).otherwise(F.array(text)))
-    # A gap and a run have two characters at least, so CONTEXT / 2 of them hold the context; ends alone are joined.
+    none = F.array().cast("array<string>")
+    df = df.withColumn("__any", F.col(text).rlike(SCANNED))
+    df = df.withColumn("__names", F.when(F.col("__any"), F.regexp_extract_all(text, F.lit(SCANNED), F.lit(1))).otherwise(none))
+    df = df.withColumn("__whole", F.when(F.col("__any"), F.regexp_extract_all(text, F.lit(SCANNED), F.lit(0))).otherwise(none))
+    df = df.withColumn("__runs", F.transform("__whole", lambda m, i: F.substr(m, F.length(F.get("__names", i)) + F.lit(1))))
+    df = df.withColumn("__gaps", F.when(F.col("__any"), F.split(text, SCANNED)).otherwise(F.array(text)))
+    df = df.withColumn("__gaps", F.transform("__gaps", lambda g, i: F.concat(g, F.coalesce(F.get("__names", i), F.lit("")))))
+    # A gap and a run after it have two characters at least, so CONTEXT / 2 of them hold the context; ends alone are joined.
     n, most = F.lit(CONTEXT), F.lit(CONTEXT // 2)
     df = df.withColumn("__left", F.transform("__runs", lambda r, i: F.concat(F.right(F.get("__gaps", i), n), F.right(r, n))))
     df = df.withColumn("__right", F.transform("__runs", lambda r, i: F.concat(F.left(r, n), F.left(F.get("__gaps", i + F.lit(1)), n))))

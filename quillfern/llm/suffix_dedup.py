@@ -13,7 +13,7 @@ same document and an earlier start) is removed; strings are judged on the input.
 3. Suffix arrays. What is left are first occurrences of different contexts of one anchor: their
    strings may still repeat in part. Their bytes form shards by anchor; each shard builds a suffix array by
    Larsson-Sadakane refinement (sort by 8 bytes, then double the sorted depth within unresolved groups up to
-   `length`), takes Kasai's common prefixes and reads off groups of equal strings. A shard of more than
+   `length`), takes common prefixes (compared directly, up to `length`) and reads off groups of equal strings. A shard of more than
    shard_bytes is built in parts, whose arrays are merged by binary search of each part's strings in the others.
 4. Flagged starts come back to the documents as runs; the covered bytes are cut out.
 
@@ -156,8 +156,9 @@ def suffix_array(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
 def common_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Common prefix of each suffix in the array with the one before it, up to length; element 0 is 0.
 
-    Kasai's bound, lcp of the suffix one byte on >= lcp - 1, is used on all suffixes at once: a value of `length` carries over to
-    the next byte as length - 1 known bytes, so only what lies beyond is compared, eight bytes at a time.
+    Every pair of neighbours is compared from its first byte, eight bytes at a time, all pairs at once. Kasai's method is not used: it
+    carries a value from each suffix to the next in text order, a step-by-step loop that arrays can't take at once, and its saving
+    is bounded here, as no comparison goes beyond `length`.
     """
     n = len(order)
     if not n:

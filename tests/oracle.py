@@ -23,9 +23,9 @@ def rows_of(df):
     return cols, sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
 
 
-def oracle_rows(sf_dir: str, sql: str):
+def oracle_rows(sf_dir: str, sql: str, tables=TABLES):
     con = duckdb.connect()
-    for t in TABLES:
+    for t in tables:
         p = f"{sf_dir}/{t}.parquet"
         con.execute(f"create view {t} as select * from read_parquet('{p + '/*.parquet' if os.path.isdir(p) else p}')")
     r = con.execute(sql)

@@ -51,12 +51,12 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def drop_stash(df: DataFrame) -> None:
-    """Deletes the files behind a DataFrame that stash() returned."""
-    path = df._stash_path  # noqa: SLF001
-    jvm = df.sparkSession._jvm  # noqa: SLF001
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)  # noqa: SLF001
+def drop_stash(*dfs: DataFrame) -> None:
+    """Deletes the files behind DataFrames that stash() returned. Only for those from which no unwritten result hangs any more."""
+    for df in dfs:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)  # noqa: SLF001
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)  # noqa: SLF001
 
 
 def text_slices(batches, max_bytes: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:

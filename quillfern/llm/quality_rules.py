@@ -11,10 +11,13 @@ with confidence 1 - delta, no stratum loses more than the share alpha of its goo
 these rules. Of the allowed cutoffs, the one with most rejected bad less good_weight times the rejected good
 holdout documents is taken, the laxest on ties. A rule without an allowed cutoff rejects nothing.
 
+Every stratum stands on its own holdout: none is pooled with others, and one without an allowed cutoff, or
+not in the holdout at all, rejects nothing. Cutoffs are joined by stratum, so their number has no bound.
+
 Defined cases: a null or empty text has no words and fails the base rule; a null stratum is the
-stratum ''; strata beyond the max_strata largest in the holdout share one pooled stratum; several labels
-of a document count as their minimum; repeated rows each get a row; no labels: the base rule alone
-decides. Extra columns are ignored, whatever their names.
+stratum ''; several labels of a document count as their minimum; repeated rows each get a row (and count
+each in the holdout); no labels: the base rule alone decides; an empty table gives an empty result. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,17 +34,15 @@ from quillfern.llm.common import WHITE, stash
 
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbol_share", "word_length", "dup_line_share", "repeat_share")
-POOLED = "*"
 
 
 @dataclass(frozen=True)
 class RiskControl:
-    """alpha: share of a stratum's good documents that may be lost; delta: chance of missing that; grid: cutoffs between 0 and 1; max_strata: strata of their own; good_weight: what a lost good document outweighs."""
+    """alpha: share of a stratum's good documents that may be lost; delta: chance of missing that; grid: cutoffs between 0 and 1; good_weight: what a lost good document outweighs."""
 
     alpha: float = 0.02
     delta: float = 0.05
     grid: int = 50
-    max_strata: int = 64
     good_weight: int = 50
 
 
@@ -129,49 +130,42 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, control: RiskControl = RiskControl()) -> DataFrame:
-    """stratum, rule, cutoff, n_good, k_good, k_bad, tail of each chosen cutoff: at most (max_strata + 1) * rules rows.
+    """stratum, rule, cutoff, n_good, k_good, k_bad, tail of each chosen cutoff, written and read again: at most one row a stratum and rule.
 
-    The holdout is every labelled document that passes the base rule. Counts are aggregated per
-    stratum, rule and step before anything is compared, so the rest works on a bounded table.
+    The holdout is every labelled document that passes the base rule. Counts are aggregated per stratum, rule and step before anything is
+    compared, so the rest works on strata * rules * grid rows. The base rule is a condition inside the sums: as a filter it would be pushed
+    below the measures and repeat their expressions within each other.
     """
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
     steps = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _steps(r, control.grid).alias("step")) for r in RULES)))
-    hold = measured.where(~base_failed()).join(y, "doc_id").select("stratum", "y", steps.alias("s"))
-    counts = stash(
-        hold.groupBy("stratum", F.col("s.rule").alias("rule"), F.col("s.step").alias("step")).agg(
-            F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("bad")
-        ),
-        "rule-counts",
-    )
-    size = counts.where(F.col("rule") == RULES[0]).groupBy("stratum").agg(F.sum("good").alias("n"))
-    own = [r[0] for r in size.orderBy(F.desc("n"), "stratum").limit(control.max_strata).collect()]
-    counts = counts.withColumn("stratum", F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise(POOLED)).groupBy("stratum", "rule", "step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    hold = measured.join(y, "doc_id").select("stratum", "y", base_failed().alias("out"), steps.alias("s"))
+    some = lambda is_good: F.sum(F.when(~F.col("out") & ((F.col("y") == 1) == F.lit(is_good)), 1).otherwise(0))
+    counts = hold.groupBy("stratum", F.col("s.rule").alias("rule"), F.col("s.step").alias("step")).agg(some(True).alias("good"), some(False).alias("bad"))
+    counts = stash(counts.where("good + bad > 0"), "rule-counts")
     cells = counts.select("stratum", "rule").distinct().withColumn("cutoff", F.explode(F.sequence(F.lit(0), F.lit(control.grid))))
     rows = cells.join(counts, ["stratum", "rule"]).groupBy("stratum", "rule", "cutoff").agg(
         F.sum("good").alias("n_good"),
         F.sum(F.when(F.col("step") > F.col("cutoff"), F.col("good")).otherwise(0)).alias("k_good"),
         F.sum(F.when(F.col("step") > F.col("cutoff"), F.col("bad")).otherwise(0)).alias("k_bad"),
     )
-    tests = F.lit(max(1, len({*own, *([POOLED] if len(own) == control.max_strata else [])}) * len(RULES)))
+    tests = max(1, counts.select("stratum").distinct().count() * len(RULES))
     rows = rows.withColumn("tail", binomial_tail(F.col("n_good"), F.col("k_good"), control.alpha / len(RULES)))
     lax_first = W.partitionBy("stratum", "rule").orderBy(F.desc("cutoff"))
     rows = rows.withColumn("allowed", F.min(F.when(F.col("tail") * tests <= control.delta, 1).otherwise(0)).over(lax_first) == 1)
     best = W.partitionBy("stratum", "rule").orderBy(F.desc(F.col("k_bad") - control.good_weight * F.col("k_good")), F.desc("cutoff"))
-    return rows.where("allowed").withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "allowed")
+    return stash(rows.where("allowed").withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "allowed"), "rule-cutoffs")
 
 
 def verdicts(measured: DataFrame, chosen: DataFrame | None, control: RiskControl = RiskControl()) -> DataFrame:
-    """The measured rows with base_failed, kept and failed_rules (comma-joined names). The chosen cutoffs, a bounded table, go in as literals."""
-    rows = chosen.select("stratum", "rule", "cutoff").collect() if chosen is not None else []
-    known = sorted({r["stratum"] for r in rows})
-    key = F.when(F.col("stratum").isin(known), F.col("stratum")).otherwise(POOLED) if known else F.lit(POOLED)
-    fails = []
-    for rule in RULES:
-        limits = [x for r in rows if r["rule"] == rule for x in (F.lit(r["stratum"]), F.lit(r["cutoff"]))]
-        over = F.coalesce(_steps(rule, control.grid) > F.try_element_at(F.create_map(*limits), key), F.lit(False)) if limits else F.lit(False)
-        fails.append(F.when(over, F.lit(rule)))
-    df = measured.withColumn("base_failed", base_failed()).withColumn("failed_rules", F.concat_ws(",", *fails))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
+    """The measured rows with base_failed, kept and failed_rules (comma-joined names). The cutoffs are joined by stratum: Spark broadcasts them where their size allows it."""
+    if chosen is None:
+        df = measured.withColumn("limits", F.create_map().cast("map<string,int>"))
+    else:
+        limits = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))  # one entry a rule
+        df = measured.join(limits, "stratum", "left")
+    fails = [F.when(_steps(rule, control.grid) > F.try_element_at("limits", F.lit(rule)), F.lit(rule)) for rule in RULES]
+    df = df.withColumn("base_failed", base_failed()).withColumn("failed_rules", F.concat_ws(",", *fails)).drop("limits")
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == "")).select(*measured.columns, "base_failed", "failed_rules", "kept")
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame | None, control: RiskControl = RiskControl(), doc_id: str = "doc_id", text: str = "text", stratum: str | None = "lang") -> DataFrame:

@@ -7,7 +7,8 @@ The table is filled on the driver (its size is a parameter), goes out as one bro
 rows, and a row is placed by one hash and one lookup: no shuffle, however hot a key is.
 
 Defined cases: a null key is placed as the empty string; equal keys get equal shards; repeated rows
-each get a row; columns named slot or shard in the input are replaced in the result.
+each get a row; columns named slot or shard in the input, the key among them, are replaced in the result; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,5 +61,6 @@ def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) ->
     slots = fill_table(names, size)
     table = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, slots))), ",")).alias("slot", "i"))
     table = table.select("slot", F.element_at(F.array(*map(F.lit, names)), F.col("i").cast("int") + 1).alias("shard"))
-    placed = df.drop("shard").withColumn("slot", slot_of(F.col(key), size))
-    return placed.join(F.broadcast(table), "slot", "left").select(*[c for c in placed.columns if c != "slot"], "slot", "shard")
+    own = [c for c in df.columns if c.lower() not in ("slot", "shard")]
+    keyed = df.select(slot_of(F.col(f"`{key}`"), size).alias("slot"), F.struct(F.lit(0).alias("_0"), *(F.col(f"`{c}`") for c in own)).alias("row"))
+    return keyed.join(F.broadcast(table), "slot", "left").select(*(F.col("row").getField(c).alias(c) for c in own), "slot", "shard")

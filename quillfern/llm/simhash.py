@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillfern.llm.common import id_and_text, stash, text_slices
+from quillfern.llm.common import drop_stash, id_and_text, stash, text_slices
 from quillfern.llm.components import connected_components
 from quillfern.llm.shingle_links import near_copies
 
@@ -213,6 +213,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = connected_components(links(classes, shard_rows, sample_cap))
     named = classes.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = stash(named, "named")
+    drop_stash(classes)
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     final = named.join(least, "component").select("fp", "component_id")
     return fps.join(final, "fp").select("doc_id", "fp", "component_id")

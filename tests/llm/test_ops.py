@@ -76,6 +76,40 @@ def test_cutoffs_keep_the_promised_share(spark):
     assert got.where("not kept").count() == 400
 
 
+def strata_tables(spark):
+    """Two strata in which cutoffs bind, one of 900 good documents in which none is allowed, and one without labels."""
+    good, bad = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu", "a# b$ c% d& e| f< g> h# i* j$ k% l&"
+    rows = [(i, f"{bad if i % 12 == 0 else good} w{i}", f"s{i % 2}", "x", 1) for i in range(4400)]
+    rows += [(10_000 + i, f"{'#$ ' if i < 300 else ''}{good} v{i}", "few", "x", 1) for i in range(900)]
+    rows += [(20_000 + i, f"{bad} u{i}", "new", "x", 1) for i in range(20)]
+    labels = [(i, int(i % 12 != 0), 0) for i in range(4400)] + [(10_000 + i, 1, 0) for i in range(900)]
+    return spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_strata_without_cutoffs_reject_nothing(spark):
+    docs, labels = strata_tables(spark)
+    got = quality_rules.apply_rules(docs, labels)
+    kept = {r.lang: (r.n, r.kept) for r in got.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert kept["few"] == (900, 900) and kept["new"] == (20, 20)
+    assert kept["s0"][1] < kept["s0"][0] and kept["s1"][1] == kept["s1"][0]  # every twelfth document is in s0
+
+
+def test_binding_cutoffs_match_sql(spark, tmp_path):
+    docs, labels = strata_tables(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.withColumn("quality", F.when((F.col("doc_id") % 22 == 1) & (F.col("doc_id") < 4400), 0).otherwise(F.col("quality"))).write.parquet(f"{tmp_path}/labels.parquet")
+    got = rows_of(queries.op1_quality_rules(spark, str(tmp_path)))
+    want = oracle_rows(str(tmp_path), queries.oracle_sql()["op1_quality_rules"], ("documents", "labels"))
+    at = got[0].index("kept")
+    assert got == want and 100 < sum(not r[at] for r in got[1]) < 600
+
+
+def test_cutoffs_of_unwritten_measures(spark, docs, sf_dir):
+    """The public functions work on lazy measures too."""
+    chosen = quality_rules.cutoffs(quality_rules.measures(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert chosen.count() >= 0
+
+
 def test_measures_of_odd_texts(odd, nothing, spark):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     got = quality_rules.apply_rules(odd, labels).collect()
@@ -198,6 +232,19 @@ def plain_shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
+def plain_near_copies(texts):
+    """The smallest id of each group of texts that links of five-word Jaccard similarity 0.8 or more reach, all pairs compared."""
+    ids = sorted(texts)
+    sets = {i: plain_shingles(re.sub("[A-Z]", lambda m: m[0].lower(), texts[i] or "")) for i in ids}
+    root = {i: i for i in ids}
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = sorted((root[i], root[j]))
+                root = {n: x if r == y else r for n, r in root.items()}
+    return set(root.values())
+
+
 def test_keep_one_links_all_pairs_of_similarity_08(spark):
     rng = np.random.default_rng(4)
     base = [[f"v{k}" for k in rng.integers(0, 5000, 60)] for _ in range(6)]
@@ -239,7 +286,44 @@ def test_rollup_adds_takes_back_and_commits_once(spark, tmp_path, odd):
     with pytest.raises(Exception, match="unknown op"):
         r.commit("b3", spark.createDataFrame([(1, "upsert", None, None, None)], cols))
     assert r.batches() == ["b1", "b2"]
-    assert r.commit("b4", odd.withColumn("op", F.lit("insert"))) and r.commit("b5", first.limit(0))
+    assert r.compact() and {(x.source, x.lang): (x.docs, x.tokens, x.chars) for x in r.totals().collect()} == got
+    assert r.commit("b4/with a slash", odd.withColumn("op", F.lit("insert"))) and r.commit("b5", first.limit(0))
+    assert r.commit("b6", spark.createDataFrame([(i, "delete", None, None, None) for i in (1, 2, 4, 5, 6, 7, 8)], cols))
+    assert r.totals().agg(F.sum("docs")).first()[0] == 3  # two null ids and document 3, inserted twice with null text
+
+
+def test_concurrent_batches_take_back_once(spark, tmp_path, monkeypatch):
+    cols = "doc_id long, op string, source string, lang string, text string"
+    path = f"file://{tmp_path}/r"
+    token_counts.Rollup(spark, path).commit("load", spark.createDataFrame([(1, "insert", "a", "en", "one two"), (2, "insert", "a", "en", "x")], cols))
+    slow, fast = token_counts.Rollup(spark, path), token_counts.Rollup(spark, path)
+    write, done = slow._write, []
+
+    def interrupted(ledger):
+        folder = write(ledger)
+        if not done:  # between the slow writer's look at the log and its claim, the other batch is committed
+            done.append(fast.commit("fast", spark.createDataFrame([(1, "delete", None, None, None)], cols)))
+        return folder
+
+    monkeypatch.setattr(slow, "_write", interrupted)
+    assert slow.commit("slow", spark.createDataFrame([(1, "delete", None, None, None)], cols)) and done == [True]
+    assert [(r.docs, r.tokens) for r in slow.totals().collect()] == [(1, 1)] and slow.batches() == ["fast", "load", "slow"]
+
+
+def test_token_counts_query_as_by_brute_force(spark, sf_dir, docs):
+    enc = token_counts.load_tokenizer(token_counts.TOKENIZER_PATH)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
+    toxic = {r.doc_id for r in labels if r.toxic == 1}
+    bad = {r.doc_id for r in labels if r.quality == 0} - toxic
+    want: Counter = Counter()
+    for r in docs.collect():
+        t = r.text or ""
+        if r.doc_id in bad:
+            t = re.sub("[ \t]+", " ", t)
+        if r.doc_id not in toxic:
+            want.update({(r.source, r.lang, "docs"): 1, (r.source, r.lang, "tokens"): len(enc.encode_ordinary(t)), (r.source, r.lang, "chars"): len(t)})
+    got = {(r.source, r.lang, c): r[c] for r in queries.op4_token_counts(spark, sf_dir).collect() for c in ("docs", "tokens", "chars")}
+    assert toxic and bad and got == dict(want)
 
 
 # -- 5 --------------------------------------------------------------------------------------------
@@ -449,10 +533,29 @@ def test_table_is_even_and_moves_little():
         sharding.fill_table(names, 2000)
 
 
+def test_table_as_by_a_plain_fill():
+    """The rule word for word: each shard's whole preference order as a list, turns in order of names, first slot without an owner."""
+    names, size = queries.shard_names()[:7], 211
+    digest = {n: hashlib.md5(n.encode()).hexdigest() for n in names}
+    wishes = {n: [(int(h[:15], 16) + k * (int(h[16:31], 16) % (size - 1) + 1)) % size for k in range(size)] for n, h in digest.items()}
+    assert all(sorted(w) == list(range(size)) for w in wishes.values())
+    owner: dict[int, str] = {}
+    while len(owner) < size:
+        for n in sorted(names):
+            if len(owner) < size:
+                owner[next(s for s in wishes[n] if s not in owner)] = n
+    assert [names[i] for i in sharding.fill_table(names, size)] == [owner[s] for s in range(size)]
+
+
 def test_placement_of_odd_tables(odd, nothing):
     got = sharding.place(odd, "doc_id", ["a", "b", "c"])
     assert got.count() == odd.count() and got.where("shard is null").count() == 0
     assert sharding.place(nothing, "doc_id", ["a"]).count() == 0
+    for name in ("shard", "slot", "SLOT", "row", "a.b"):
+        keyed = odd.select(F.col("doc_id").alias(name), "text")
+        again = sharding.place(keyed, name, ["a", "b", "c"])
+        assert sorted(r.shard for r in again.collect()) == sorted(r.shard for r in got.collect())
+    assert sharding.place(odd.select(F.col("doc_id").alias("shard")), "shard", ["a", "b"]).columns == ["slot", "shard"]
 
 
 # -- 10 -------------------------------------------------------------------------------------------
@@ -489,10 +592,10 @@ def test_pipeline_stages(spark, sf_dir, docs, texts):
             at = spark.createDataFrame(rows, docs.schema)
     scored = {r.doc_id for r in queries.op5_quality_classifier(spark, sf_dir).where("predicted = 1").collect()}
     assert {r.doc_id for r in seen["quality"]} == scored
-    comp = plain_components({i: plain_fingerprint(texts[i]) for i in scored})
-    assert {r.doc_id for r in seen["near_dedup"]} == set(comp.values())
+    first = plain_near_copies({i: texts[i] for i in scored})
+    assert {r.doc_id for r in seen["near_dedup"]} == first
     bad = {r.doc_id for r in queries.op10_benchmark_decontamination(spark, sf_dir).where("contaminated").collect()}
-    assert {r.doc_id for r in seen["decontaminate"]} == set(comp.values()) - bad
+    assert {r.doc_id for r in seen["decontaminate"]} == first - bad
     assert len(seen["secrets"]) == len(seen["tokenize"]) == len(seen["decontaminate"]) and all(r.round_trip for r in seen["tokenize"])
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(r.doc_id for r in seen["tokenize"])
 

@@ -4,17 +4,19 @@ Every byte covered by a string of `length` bytes that also starts earlier (small
 same document and an earlier start) is removed; strings are judged on the input.
 
 1. Anchors. In any `length` consecutive bytes, the leftmost GRAM-byte gram with the smallest hash is the anchor. Equal
-   strings choose equal anchors at equal places, so a repeated string shows as a repeated anchor. About one
-   byte in 35 is one. An anchor's context is the bytes that any string choosing it can cover.
-2. Pre-aggregation. Per batch of documents, of all occurrences with equal anchor and context, only the
-   earliest in the batch goes on; the others repeat it in full and are flagged on the spot. So a hot passage
-   costs one row per batch, not one per document. A second aggregate finds the earliest of all batches, by
-   128 bits of hashes; later ones repeat it in full.
-3. Suffix arrays. What is left are first occurrences of different contexts of one anchor: their
-   strings may still repeat in part. Their bytes form shards by anchor; each shard builds a suffix array by
-   Larsson-Sadakane refinement (sort by 8 bytes, then double the sorted depth within unresolved groups up to
-   `length`), takes common prefixes (compared directly, up to `length`) and reads off groups of equal strings. A shard of more than
-   shard_bytes is built in parts, whose arrays are merged by binary search of each part's strings in the others.
+   strings choose equal anchors at equal places, so a string that repeats has an anchor that repeats. About one
+   byte in 35 is one. An anchor's context is the bytes of all strings that choose it. Hashes only choose what is
+   looked at and bring it together; they never decide that something repeats.
+2. Shards of one task. In every `most` bytes of documents, what lies under anchors that occur there more than once is
+   dealt to shards of at most shard_bytes. Each shard gets a suffix array by Larsson-Sadakane refinement (sorted by the first
+   bytes, then the sorted depth is doubled within unresolved groups up to `length`); common prefixes, by Kasai's relation
+   between neighbours in the text, tell groups of equal strings. Shards are merged in order of age: the sorted strings of a shard are
+   found in those of all older ones by binary search, and what is new is merged into them at the place found. Starts that
+   repeat are flagged; contexts that keep an unflagged start go on. So a hot passage costs one row per task's batch.
+3. Shards across tasks. Contexts whose bytes are equal (by a 96-bit BLAKE2b digest) repeat the earliest of them in full. Anchors that still have
+   several contexts have their bytes brought together, and suffix arrays and binary search decide as in 2.
+   An anchor of more than hot_contexts contexts is not brought to one task: its strings are compared one by one, by their
+   128-bit BLAKE2b digests, in an aggregate that is combined before its shuffle and a join that can be split.
 4. Flagged starts come back to the documents as runs; the covered bytes are cut out.
 
 Texts travel compressed, by document id, for step 3 (documents with such contexts alone) and step 4.
@@ -31,32 +33,32 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillfern.llm.common import id_and_text, stash
 
 GRAM = 32
-_MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+#: A shard's suffixes are numbered in 21 bits, so that two ranks and a number are one 64-bit word to sort.
+BITS = 21
+LARGEST = (1 << BITS) - 2
+_MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def gram_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """64-bit hashes of every run of each of the (rising) sizes: runs are put together from two shorter ones, so the work grows with the log of the size."""
-    out = []
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of every run of size bytes: runs are put together from two shorter ones, so the work grows with the log of the size."""
     with np.errstate(over="ignore"):
         h = (data.astype(np.uint64) + np.uint64(1)) * _MULT[0]
         h ^= h >> np.uint64(29)
         done = 1
-        for size in sizes:
-            while done < size and len(h):
-                shift = min(done, size - done)  # overlapping parts make sizes that are no power of two
-                if shift >= len(h):
-                    h = h[:0]
-                    break
-                h = h[:-shift] * _MULT[1] + h[shift:] * _MULT[2]
-                h ^= h >> np.uint64(32)
-                done += shift
-            g = h * _MULT[3]
-            out.append(g ^ (g >> np.uint64(31)))
-    return out
+        while done < size and len(h):
+            shift = min(done, size - done)  # overlapping parts make sizes that are no power of two
+            if shift >= len(h):
+                return h[:0]
+            h = h[:-shift] * _MULT[1] + h[shift:] * _MULT[2]
+            h ^= h >> np.uint64(32)
+            done += shift
+        h *= _MULT[3]
+        return h ^ (h >> np.uint64(31))
 
 
 def sliding(h: np.ndarray, width: int, pick) -> np.ndarray:
@@ -69,190 +71,195 @@ def sliding(h: np.ndarray, width: int, pick) -> np.ndarray:
     return h
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes, first starts, last starts, hashes of all strings): the anchors of one text and the range of string starts that choose each.
+def contexts_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hashes, anchor positions, first starts, last starts) of documents laid end to end; ends: where each one stops.
 
-    A string's anchor is its leftmost gram of the smallest hash, so each start belongs to one anchor. The starts of an anchor are consecutive;
-    a gram that is the smallest of some string but nowhere the leftmost has none (first > last).
+    A string's anchor is its leftmost gram of the smallest hash. Strings lie inside one document. The starts of an anchor are consecutive.
     """
-    h, strings = gram_hashes(data, (GRAM, length))
+    h = gram_hashes(data, GRAM)
     span = length - GRAM + 1
+    none = np.zeros(0, np.int64)
     if len(h) < span:
-        none = np.zeros(0, np.int64)
-        return none, np.zeros(0, np.uint64), none, none, strings
-    low = sliding(h, span, np.minimum)
+        return np.zeros(0, np.uint64), none, none, none
+    low = sliding(h, span, np.minimum)  # by start: the smallest hash of its grams
+    own = np.ones(len(low), bool)
+    for k in ends[:-1].tolist():  # strings across the end of a document are none
+        own[max(0, k - length + 1) : k] = False
     padded = np.concatenate((np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)))
-    at = np.flatnonzero(sliding(padded, span, np.maximum) == h)
-    # Starts from at - span + 1 to at: a smaller gram on either side, or an equal one before, bounds them.
-    value = h[at]
-    first, last = at - span + 1, at.copy()
-    smaller_left = np.full(len(at), -1)
-    smaller_right = np.full(len(at), len(h))
-    # Neighbouring anchors bound each other: between two anchors no gram is smaller than both.
-    for k in range(1, len(at)):
-        if k > 4 * span:
-            break
-        left = at[k:] - at[:-k]
-        near = left < span
-        if not near.any():
-            break
-        hit = near & (value[:-k] <= value[k:]) & (smaller_left[k:] < 0)
-        smaller_left[k:][hit] = at[:-k][hit]
-        hit = near & (value[k:] < value[:-k]) & (smaller_right[:-k] == len(h))
-        smaller_right[:-k][hit] = at[k:][hit]
-    first = np.maximum(first, np.maximum(smaller_left + 1, 0))
-    last = np.minimum(last, np.minimum(smaller_right - span, len(low) - 1))
-    return at, value, first, last, strings
-
-
-def equal_string_groups(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For every start, a number that is equal exactly for equal strings of length bytes: suffix array, then common prefixes.
-
-    data ends in at least length bytes of padding. Ranks are refined by Larsson and Sadakane's doubling, on unresolved groups alone; depth ends
-    at length, by a last step of length - depth.
+    lowest = sliding(padded, span, np.maximum) == h  # grams that are the smallest of some string
+    at = np.flatnonzero(lowest)
+    starts = np.flatnonzero(own)
+    place = (np.cumsum(lowest) - lowest)[starts]  # the first of those grams at or after the start
+    value, low = h[at], low[starts]
+    rest = np.flatnonzero(value[place] != low)
+    while len(rest):
+        place[rest] += 1
+        rest = rest[value[place[rest]] != low[rest]]
+    new = np.concatenate(([True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1))) if len(starts) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    stop = np.concatenate((begin[1:], [len(starts)])) - 1 if len(begin) else begin
+    return value[place[begin]], at[place[begin]], starts[begin], starts[stop]
+
+
+def suffix_array(data: np.ndarray, length: int) -> np.ndarray:
+    """Suffixes sorted by their first length bytes; those equal there in order of their place. Past its end the data counts as zeros.
+
+    Larsson and Sadakane's refinement on unresolved groups alone: (rank, rank of the suffix `depth` further on, place) is one word, so
+    a round is one sort of words.
     """
-    order, rank, depth = suffix_array(data, length)
-    lcp = common_prefixes(data, order, length)
-    group = np.cumsum(np.concatenate(([1], (lcp[1:] < length).astype(np.int64)))) if len(order) else np.zeros(0, np.int64)
-    of = np.empty(len(data), np.int64)
-    of[order] = group
-    return of[starts]
-
-
-def suffix_array(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Suffixes sorted by their first length bytes (ties in any order), the rank of each (equal for equal prefixes) and the depth reached."""
     n = len(data)
-    wide = np.concatenate((data, np.zeros(8, np.uint8)))
-    key = np.zeros(n, np.uint64)
-    depth = min(8, length)
-    for k in range(depth):
-        key |= wide[k : k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate(([True], key[order][1:] != key[order][:-1])) if n else np.zeros(0, bool)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else 0
+    if n > LARGEST:
+        raise ValueError(f"a shard holds at most {LARGEST} bytes")
+    if not n:
+        return np.zeros(0, np.int64)
+    u, bits, mask = np.uint64, np.uint64(BITS), np.uint64((1 << BITS) - 1)
+    used = np.zeros(256, bool)
+    used[data] = used[0] = True
+    code = (np.cumsum(used) - 1).astype(np.uint64)
+    width = max(1, int(used.sum() - 1).bit_length())
+    depth = min(length, (64 - BITS) // width)
+    wide = np.concatenate((code[data], np.zeros(depth, u)))
+    key = wide[:n].copy()
+    for k in range(1, depth):
+        key = (key << u(width)) | wide[k : k + n]
+    packed = (key << bits) | np.arange(n, dtype=u)
+    packed.sort()
+    order = (packed & mask).astype(np.int64)
+    packed >>= bits
+    new = np.concatenate(([True], packed[1:] != packed[:-1]))
+    rank = np.empty(n + 1, u)
+    rank[n] = 0  # beyond the end; other ranks start at 1
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)).astype(u) + u(1)
     while depth < length:
         step = min(depth, length - depth)
-        first = np.concatenate((np.flatnonzero(new), [n]))
-        size = np.diff(first)
-        open_ = np.repeat(size > 1, size)  # members of groups that still have equals
-        at = np.flatnonzero(open_)
+        size = np.diff(np.concatenate((np.flatnonzero(new), [n])))
+        at = np.flatnonzero(np.repeat(size > 1, size))  # members of groups that still have equals
         if not len(at):
             break
         suffix = order[at]
-        ahead = suffix + step
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
-        head = rank[suffix]
-        inner = np.lexsort((second, head))
-        suffix, second, head = suffix[inner], second[inner], head[inner]
+        packed = (rank[suffix] << (bits + bits)) | (rank[np.minimum(suffix + step, n)] << bits) | suffix.astype(u)
+        packed.sort()
+        suffix = (packed & mask).astype(np.int64)
+        packed >>= bits
         order[at] = suffix
-        fresh = np.concatenate(([True], (head[1:] != head[:-1]) | (second[1:] != second[:-1])))
+        fresh = np.concatenate(([True], packed[1:] != packed[:-1]))
         new[at] = fresh
-        rank[suffix] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        rank[suffix] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))].astype(u) + u(1)
         depth += step
-    return order, rank, depth
+    return order
+
+
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of data (which is padded) as one little-endian word; a view."""
+    return np.ndarray((len(data) - 7,), np.dtype("<u8"), data, strides=(1,))
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Common prefix of each suffix in the array with the one before it, up to length; element 0 is 0.
 
-    Every pair of neighbours is compared from its first byte, eight bytes at a time, all pairs at once. Kasai's method is not used: it
-    carries a value from each suffix to the next in text order, a step-by-step loop that arrays can't take at once, and its saving
-    is bounded here, as no comparison goes beyond `length`.
+    Kasai's relation in arrays: if a suffix and the next one in the text have neighbours in the array that follow each other in the
+    text too, their common prefixes differ by exactly one (or the first bytes differ). So bytes are compared only where such a run
+    ends, and the others count up from there, all runs at once.
     """
     n = len(order)
-    if not n:
-        return np.zeros(0, np.int64)
-    wide = np.concatenate((data, np.zeros(length + 8, np.uint8)))
-    words = np.zeros(n + length, np.uint64)
-    for k in range(8):
-        words |= wide[k : k + n + length].astype(np.uint64) << np.uint64(56 - 8 * k)
-    before = np.concatenate((order[:1], order[:-1]))
-    lcp = np.zeros(n, np.int64)
-    live = np.arange(1, n)
+    if n < 2:
+        return np.zeros(n, np.int64)
+    padded = np.concatenate((data, np.zeros(length + 16, np.uint8)))
+    before = np.full(n, n, np.int64)  # by place: the suffix before it in the array; the first has none
+    before[order[1:]] = order[:-1]
+    place = np.arange(n)
+    differs = padded[place] != padded[before]
+    differs[order[0]] = True
+    ends = np.concatenate((before[1:] != before[:-1] + 1, [True])) | differs
+    at = np.flatnonzero(ends & ~differs)
+    value = np.zeros(n, np.int64)
+    word = words_at(padded)
+    live = at
     for k in range(0, length, 8):
-        a, b = words[np.minimum(order[live] + k, n + length - 1)], words[np.minimum(before[live] + k, n + length - 1)]
-        differ = a ^ b
-        same = differ == 0
-        lead = np.zeros(len(live), np.int64)
-        d = differ.copy()
-        for bit in (32, 16, 8):
-            big = d >= (np.uint64(1) << np.uint64(64 - bit))
-            lead += np.where(big, 0, bit // 8)
-            d = np.where(big, d, d << np.uint64(bit))
-        lcp[live] += np.where(same, 8, np.minimum(lead, 8))
+        d = word[live + k] ^ word[before[live] + k]
+        same = d == 0
+        value[live] += np.where(same, 8, np.bitwise_count((d & (~d + np.uint64(1))) - np.uint64(1)) // 8)
         live = live[same]
         if not len(live):
             break
-    # A common prefix never reads past the end of the data.
-    return np.minimum(np.minimum(lcp, length), n - np.maximum(order, before))
-
-
-def search_strings(data: np.ndarray, starts: np.ndarray, other: np.ndarray, other_starts: np.ndarray, length: int) -> np.ndarray:
-    """Binary search of the strings of data at starts among those of other at other_starts (sorted, distinct): index of the equal one, or -1."""
-    if not len(starts) or not len(other_starts):
-        return np.full(len(starts), -1)
-    pad = lambda d: np.concatenate((d, np.zeros(length + 8, np.uint8)))
-    a, b = pad(data), pad(other)
-
-    def words(d: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-        out = np.zeros(len(at), np.uint64)
-        for j in range(8):
-            if k + j < length:
-                out |= d[at + k + j].astype(np.uint64) << np.uint64(56 - 8 * j)
-        return out
-
-    low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(other_starts))
-    found = np.full(len(starts), -1)
-    while True:
-        live = np.flatnonzero((low < high) & (found < 0))
-        if not len(live):
-            return found
+    stop = np.minimum.accumulate(np.where(ends, place, n)[::-1])[::-1]
+    lcp = np.minimum(value[stop] + stop - place, length)
+    lcp = np.minimum(lcp, n - np.maximum(place, before))  # never past the end of the data
+    lcp[order[0]] = 0
+    return np.maximum(lcp, 0)[order]
+
+
+def search_strings(needles: np.ndarray, data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of the strings at needles among those at starts (sorted, distinct), all places in data, which is padded by eight bytes: (index of the first not smaller, whether that is equal)."""
+    word = words_at(data)
+
+    def words(at: np.ndarray, k: int) -> np.ndarray:
+        w = word[at + k].byteswap()
+        return w if k + 8 <= length else w >> np.uint64(8 * (k + 8 - length))
+
+    first, mine = words(starts, 0), words(needles, 0)
+    low, high = np.searchsorted(first, mine, "left"), np.searchsorted(first, mine, "right")
+    found = np.zeros(len(needles), bool)
+    live = np.flatnonzero(low < high)
+    while len(live):
         mid = (low[live] + high[live]) // 2
-        side = np.zeros(len(live), np.int64)
+        side = np.zeros(len(live), np.int8)
         rest = np.arange(len(live))
-        for k in range(0, length, 8):
-            x, y = words(a, starts[live[rest]], k), words(b, other_starts[mid[rest]], k)
-            side[rest] = np.where(x < y, -1, np.where(x > y, 1, 0))
+        for k in range(8, length, 8):
+            x, y = words(needles[live[rest]], k), words(starts[mid[rest]], k)
+            side[rest] = np.where(x < y, -1, x > y)
             rest = rest[x == y]
             if not len(rest):
                 break
-        found[live[side == 0]] = mid[side == 0]
-        high[live[side < 0]] = mid[side < 0]
-        low[live[side > 0]] = mid[side > 0] + 1
-
-
-def first_starts(contexts: list[tuple[bytes, int, int]], length: int, shard_bytes: int) -> list[np.ndarray]:
-    """contexts: (bytes, first string start in them, number of starts), in order of age. For each, which of its starts also occur in an earlier context, or earlier in the same."""
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        equal, less, more = side == 0, side < 0, side > 0
+        low[live[equal]] = mid[equal]
+        found[live[equal]] = True
+        high[live[less]] = mid[less]
+        low[live[more]] = mid[more] + 1
+        live = live[~equal]
+        live = live[low[live] < high[live]]
+    return low, found
+
+
+def repeated_starts(pieces: list[tuple[bytes, np.ndarray]], length: int, shard_bytes: int) -> list[np.ndarray]:
+    """pieces: (bytes, places in them where strings of length bytes start), in order of age. For each, which of its strings also start earlier."""
+    sizes = np.array([len(p[0]) for p in pieces], np.int64)
+    offset = np.concatenate(([0], np.cumsum(sizes)))
+    data = np.frombuffer(b"".join(p[0] for p in pieces) + bytes(length + 16), np.uint8)
     flags: list[np.ndarray] = []
+    merged = np.zeros(0, np.int64)  # places of the distinct strings so far, sorted by string
     k = 0
-    while k < len(contexts):
-        e, size = k, 0
-        while e < len(contexts) and (e == k or size + len(contexts[e][0]) <= shard_bytes):
-            size += len(contexts[e][0])
+    while k < len(pieces):
+        e = k + 1
+        while e < len(pieces) and offset[e + 1] - offset[k] <= shard_bytes:
             e += 1
-        chunk = contexts[k:e]
-        data = np.frombuffer(b"".join(c[0] for c in chunk) + bytes(length), np.uint8)
-        offset = np.cumsum([0, *(len(c[0]) for c in chunk[:-1])])
-        starts = np.concatenate([o + c[1] + np.arange(c[2]) for o, c in zip(offset, chunk, strict=True)])
-        group = equal_string_groups(data, starts, length)
-        # The earliest start of each group of equal strings stays; starts are in order of age.
-        _, earliest = np.unique(group, return_index=True)
-        repeated = np.ones(len(starts), bool)
-        repeated[earliest] = False
-        for other, sorted_starts, _ in parts:  # cross-shard merging: older parts hold what is older
-            open_ = np.flatnonzero(~repeated)
-            repeated[open_[search_strings(data, starts[open_], other, sorted_starts, length) >= 0]] = True
-        if e < len(contexts) or parts:
-            own = starts[earliest]  # np.unique sorts by group, which follows the suffix array's order
-            parts.append((data, own, group[earliest]))
-        bounds = np.cumsum([0, *(c[2] for c in chunk)])
-        flags += [repeated[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        shard = data[offset[k] : offset[e] + length]
+        repeated = np.zeros(len(shard), bool)
+        repeated[np.concatenate([pieces[x][1] + (offset[x] - offset[k]) for x in range(k, e)])] = True
+        order = suffix_array(shard, length)
+        group = np.cumsum(common_prefixes(shard, order, length) < length)
+        listed = repeated[order]
+        order, group = order[listed], group[listed]
+        # Equal strings stand in order of their place, so the first of a group is the oldest; it stays.
+        own = order[np.concatenate(([True], group[1:] != group[:-1]))]
+        repeated[own] = False
+        if len(merged):
+            low, found = search_strings(own + offset[k], data, merged, length)
+            repeated[own[found]] = True
+            merged = np.insert(merged, low[~found], own[~found] + offset[k])
+        else:
+            merged = own + offset[k]
+        flags += [repeated[pieces[x][1] + (offset[x] - offset[k])] for x in range(k, e)]
         k = e
     return flags
 
 
+def cut_pieces(first: int, last: int, length: int, shard_bytes: int) -> list[tuple[int, int]]:
+    """A range of starts as ranges whose strings' bytes fit a shard."""
+    step = shard_bytes - length
+    return [(a, min(last, a + step - 1)) for a in range(first, last + 1, step)]
+
+
 def runs_of(flagged: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs [a, b) of True."""
     edge = np.diff(np.concatenate(([0], flagged.view(np.int8), [0])))
@@ -274,127 +281,131 @@ def merged_runs(rid: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
     return rid[first], a[first], reach[np.concatenate((first[1:], [len(a)])) - 1]
 
 
-#: An occurrence: anchor hash, context hash, row id, and the range of starts with the anchor's place in it, packed. FLAG rows carry runs of repeated starts: c is the last start.
-ROWS = "h long, c long, rid long, at long, kind int"
+#: A context with an unflagged start (anchor hash, 96 bits of the digest of its bytes, row id, packed range of starts), or a run of flagged starts.
+ROWS = "h long, c long, e int, rid long, at long, kind int"
 OCCURRENCE, FLAG = 0, 1
+#: Bits of a packed range that hold its length.
+WIDE = 24
 
 
 def pack_range(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return (first << 8) | (last - first)
+    return (first << WIDE) | (last - first)
 
 
 def unpack_range(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return at >> 8, (at >> 8) + (at & 255)
-
-
-def text_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hashes, context hashes, first starts, last starts) of one text. A context is the bytes of all strings that choose an anchor: two strings of length bytes cover it."""
-    at, value, first, last, strings = anchors(data, length)
-    ok = first <= last
-    at, value, first, last = at[ok], value[ok], first[ok], last[ok]
-    with np.errstate(over="ignore"):
-        c = strings[first] * _MULT[4] + strings[last] * _MULT[5] + ((last - first).astype(np.uint64) << np.uint64(8)) + (at - first).astype(np.uint64)
-        c = (c ^ (c >> np.uint64(32))) * _MULT[6]
-    return value, c ^ (c >> np.uint64(29)), first, last
-
+    return at >> WIDE, (at >> WIDE) + (at & ((1 << WIDE) - 1))
 
-def _split_first(h: np.ndarray, c: np.ndarray, rid: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by (h, c, rid, at), and where in it a pair (h, c) begins."""
-    order = np.lexsort((at, rid, c, h))
-    h, c = h[order], c[order]
-    return order, np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))) if len(h) else np.zeros(0, bool)
 
-
-def _frame(h, c, rid, at, kind):
+def _frame(h, c, e, rid, at, kind):
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(np.int64)) for x in (h, c, rid, at)] + [pa.array(np.asarray(kind).astype(np.int32))], ["h", "c", "rid", "at", "kind"])
-
-
-def _flags(rid: np.ndarray, at: np.ndarray):
-    """FLAG rows of the packed ranges; h spreads them evenly."""
-    a, b = unpack_range(at)
-    rid, a, b = merged_runs(rid, a, b)
-    with np.errstate(over="ignore"):
-        spread = (rid.astype(np.uint64) * _MULT[0] + a.astype(np.uint64) * _MULT[1]).view(np.int64)
-    return _frame(spread, b, rid, a, np.full(len(rid), FLAG))
-
-
-def _find(length: int, most: int = 24_000_000):
-    """Texts -> the earliest occurrence of each (anchor, context) in about most bytes of them, and flags of the others."""
-
-    def reduce_(parts):
-        h, c, first, last = (np.concatenate(x) for x in zip(*(p[1:] for p in parts), strict=True))
-        rid = np.concatenate([np.full(len(p[1]), p[0], np.int64) for p in parts])
-        h, c, at = h.view(np.int64), c.view(np.int64), pack_range(first, last)
-        order, new = _split_first(h, c, rid, at)
-        keep, rest = order[new], order[~new]
-        yield _frame(h[keep], c[keep], rid[keep], at[keep], np.zeros(len(keep)))
-        if len(rest):
-            yield _flags(rid[rest], at[rest])
+    columns = [pa.array(np.asarray(x).astype(t)) for x, t in ((h, np.int64), (c, np.int64), (e, np.int32), (rid, np.int64), (at, np.int64), (kind, np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["h", "c", "e", "rid", "at", "kind"])
+
+
+def _flags(rid: np.ndarray, first: np.ndarray, last: np.ndarray):
+    """FLAG rows of ranges of starts; h spreads them evenly. Runs of more starts than a packed range holds go in pieces."""
+    rid, first, last = merged_runs(rid, first, last)
+    most = (1 << WIDE) - 1
+    while len(rid):
+        upto = np.minimum(last, first + most)
+        with np.errstate(over="ignore"):
+            spread = (rid.astype(np.uint64) * _MULT[0] + first.astype(np.uint64) * _MULT[1]).view(np.int64)
+        yield _frame(spread, np.zeros(len(rid)), np.zeros(len(rid)), rid, pack_range(first, upto), np.full(len(rid), FLAG))
+        more = last > upto
+        rid, first, last = rid[more], upto[more] + 1, last[more]
+
+
+class _Batch:
+    """Documents of one task's batch, laid end to end, with their contexts."""
+
+    def __init__(self, length: int, shard_bytes: int):
+        self.length, self.shard_bytes = length, shard_bytes
+        self.docs: list[tuple[int, bytes]] = []
+        self.size = 0
+
+    def add(self, rid: int, data: bytes) -> None:
+        if len(data) >= self.length:
+            self.docs.append((rid, data))
+            self.size += len(data)
+
+    def contexts(self):
+        """(document index, anchor hash, first start, last start) of all contexts, in order. Long documents are looked at in stretches that overlap."""
+        out, held, size = [], [], 0
+
+        def look():
+            begins = np.cumsum([0, *(b - a for _, a, b in held)])
+            data = np.frombuffer(b"".join(self.docs[d][1][a:b] for d, a, b in held), np.uint8)
+            h, _, first, last = contexts_of(data, begins[1:], self.length)
+            which = np.searchsorted(begins, first, "right") - 1
+            shift = np.array([a for _, a, _ in held], np.int64)[which] - begins[which]
+            out.append((np.array([d for d, _, _ in held], np.int64)[which], h, first + shift, last + shift))
+
+        for d, (_, data) in enumerate(self.docs):
+            for a, b in cut_pieces(0, len(data) - self.length, self.length, self.shard_bytes):
+                if held and size + b + self.length - a > self.shard_bytes:
+                    look()
+                    held, size = [], 0
+                held.append((d, a, b + self.length))
+                size += b + self.length - a
+        if held:
+            look()
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+    def rows(self):
+        """Flags of what repeats inside the batch, and the contexts that keep a start."""
+        if not self.docs:
+            return
+        self.docs.sort(key=lambda x: x[0])
+        length = self.length
+        doc, h, first, last = self.contexts()
+        rid = np.array([r for r, _ in self.docs], np.int64)
+        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(count[inverse] > 1)
+        keep = np.ones(len(h), bool)
+        if len(again):
+            d, a, b = merged_runs(doc[again], first[again], last[again])
+            cut = [(int(x), *p) for x, y, z in zip(d, a, b, strict=True) for p in cut_pieces(int(y), int(z), length, self.shard_bytes)]
+            found = repeated_starts([(self.docs[x][1][y : z + length], np.arange(z - y + 1)) for x, y, z in cut], length, self.shard_bytes)
+            flagged: dict[int, list] = {}
+            for (x, y, _), f in zip(cut, found, strict=True):
+                flagged.setdefault(x, []).extend((y + s, y + e - 1) for s, e in runs_of(f))
+            ranges = [(x, s, e) for x, runs in flagged.items() for s, e in runs]
+            if ranges:
+                d, a, b = (np.array(c, np.int64) for c in zip(*ranges, strict=True))
+                d, a, b = merged_runs(d, a, b)
+                yield from _flags(rid[d], a, b)
+                # A context is done with if one run of flagged starts holds all of its own.
+                wide = int(max(last.max(), b.max())) + 2
+                at = np.searchsorted(d * wide + a, doc * wide + first, "right") - 1
+                keep = ~((at >= 0) & (d[at] == doc) & (last <= b[at]))
+        doc, h, first, last = doc[keep], h[keep], first[keep], last[keep]
+        digest = hashlib.blake2b
+        views = [memoryview(x) for _, x in self.docs]
+        marks = b"".join([digest(views[d][a : b + length], digest_size=12).digest() for d, a, b in zip(doc.tolist(), first.tolist(), last.tolist(), strict=True)])
+        marks = np.frombuffer(marks, np.dtype([("c", "<i8"), ("e", "<i4")]))
+        yield _frame(h.view(np.int64), marks["c"], marks["e"], rid[doc], pack_range(first, last), np.zeros(len(h)))
+
+
+def _find(length: int, shard_bytes: int, most: int = 24_000_000):
+    """Texts -> flags of what repeats within about most bytes of them, and the contexts that go on."""
 
     def each(batches):
-        parts, size = [], 0
+        held = _Batch(length, shard_bytes)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for i, r in enumerate(ids):
-                data = np.frombuffer((texts[i].as_py() or "").encode(), np.uint8)
-                if len(data) >= length:
-                    parts.append((r, *text_anchors(data, length)))
-                size += len(data)
-                if size >= most:
-                    yield from reduce_(parts) if parts else ()
-                    parts, size = [], 0
-        if parts:
-            yield from reduce_(parts)
+                held.add(r, (texts[i].as_py() or "").encode())
+                if held.size >= most:
+                    yield from held.rows()
+                    held = _Batch(length, shard_bytes)
+        yield from held.rows()
 
     return each
 
 
-def _compare(batches):
-    """Rows sorted by (h, c, rid, at) -> flags of all but the earliest of each (h, c), and those earliest where an anchor has several contexts."""
-    import pyarrow as pa
-
-    held = [np.zeros(0, np.int64)] * 4
-    several = None  # the anchor of held, if it is known to have several contexts
-
-    def settle(h, c, rid, at, last: bool):
-        nonlocal held, several
-        if not len(h):
-            held = [h, c, rid, at]
-            return
-        order, new = _split_first(h, c, rid, at)
-        rest = order[~new]
-        if len(rest):
-            yield _flags(rid[rest], at[rest])
-        h, c, rid, at = (x[order[new]] for x in (h, c, rid, at))
-        stay = np.zeros(len(h), bool) if last else h == h[-1]
-        start = np.concatenate(([True], h[1:] != h[:-1]))
-        many = np.repeat(np.diff(np.concatenate((np.flatnonzero(start), [len(h)]))) > 1, np.diff(np.concatenate((np.flatnonzero(start), [len(h)]))))
-        if several is not None:
-            many |= h == several
-        if not last and stay.sum() > 200_000:  # a very common anchor goes on in pieces, but its newest context stays for comparison
-            several = int(h[-1])
-            stay[:-1] = False
-        go = many & ~stay
-        if go.any():
-            yield _frame(h[go], c[go], rid[go], at[go], np.zeros(int(go.sum())))
-        held = [x[stay] for x in (h, c, rid, at)]
-        if several is not None and (last or several != int(h[-1])):
-            several = None
-
-    for batch in batches:
-        h, c, rid, at, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "c", "rid", "at", "kind"))
-        flag = kind == FLAG
-        if flag.any():
-            yield pa.RecordBatch.from_arrays([x.filter(pa.array(flag)) for x in batch.columns], batch.schema.names)
-        own = ~flag
-        yield from settle(*(np.concatenate((a, b[own])) for a, b in zip(held, (h, c, rid, at), strict=True)), False)
-    yield from settle(*held, True)
-
-
-def _cut(length: int):
-    """Documents with wanted ranges -> the bytes of each range's strings."""
+def _cut(length: int, each_start: bool):
+    """Documents with wanted ranges -> the bytes of each range's strings, or the digest of every string by itself."""
 
     def each(batches):
         import pyarrow as pa
@@ -407,29 +418,30 @@ def _cut(length: int):
                 data = unpack.decompress(blob.as_py(), max_output_size=1 << 31)
                 hs, ats = wanted.values.field(0).to_numpy(), wanted.values.field(1).to_numpy()
                 a, b = unpack_range(ats)
+                if each_start:
+                    at = np.concatenate([np.arange(x, y + 1) for x, y in zip(a, b, strict=True)])
+                    hs, ats = np.zeros(len(at), np.int64), pack_range(at, at)
+                    out[3].extend(hashlib.blake2b(data[x : x + length], digest_size=16).digest() for x in at.tolist())
+                else:
+                    out[3].extend(data[x : y + length] for x, y in zip(a.tolist(), b.tolist(), strict=True))
                 out[0].extend(hs.tolist())
                 out[1].extend([rid] * len(hs))
                 out[2].extend(ats.tolist())
-                out[3].extend(data[x : y + length] for x, y in zip(a.tolist(), b.tolist(), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["h", "rid", "at", "bytes"])
 
     return each
 
 
 def _resolve(length: int, shard_bytes: int, group_bytes: int):
-    """Contexts sorted by (h, rid, at) -> flags of the starts whose string is older elsewhere. Whole anchors are gathered up to group_bytes; first_starts divides what is more than shard_bytes."""
+    """Contexts sorted by (h, rid, at) -> flags of the starts whose string is older elsewhere. Whole anchors are gathered up to group_bytes; repeated_starts divides what is more than shard_bytes."""
 
     def flags(rows):
         rows.sort(key=lambda x: (x[1], x[2]))
         ranges = [unpack_range(np.int64(x[2])) for x in rows]
-        got = first_starts([(x[3], 0, int(b - a) + 1) for x, (a, b) in zip(rows, ranges, strict=True)], length, shard_bytes)
-        rid, at = [], []
-        for x, (a, _), f in zip(rows, ranges, got, strict=True):
-            for s, e in runs_of(f):
-                rid.append(x[1])
-                at.append(((int(a) + s) << 8) | (e - s - 1))
-        if rid:
-            yield _flags(np.array(rid, np.int64), np.array(at, np.int64))
+        got = repeated_starts([(x[3], np.arange(int(b - a) + 1)) for x, (a, b) in zip(rows, ranges, strict=True)], length, shard_bytes)
+        runs = [(x[1], int(a) + s, int(a) + e - 1) for x, (a, _), f in zip(rows, ranges, got, strict=True) if f.any() for s, e in runs_of(f)]
+        if runs:
+            yield from _flags(*(np.array(c, np.int64) for c in zip(*runs, strict=True)))
 
     def each(batches):
         rows, size = [], 0
@@ -460,8 +472,8 @@ def _remove(length: int):
                 data = unpack.decompress(blob.as_py(), max_output_size=1 << 31)
                 n_removed, spans, kept = 0, [], data
                 if runs.is_valid and len(runs.values):
-                    a, b = runs.values.field(0).to_numpy(), runs.values.field(1).to_numpy() + length
-                    _, a, b = merged_runs(np.zeros(len(a), np.int64), a, b - 1)
+                    a, b = unpack_range(runs.values.to_numpy())
+                    _, a, b = merged_runs(np.zeros(len(a), np.int64), a, b + length - 1)
                     spans = list(zip(a.tolist(), (b + 1).tolist(), strict=True))
                     n_removed = int((b + 1 - a).sum())
                     edges = [0, *(x for s in spans for x in s), len(data)]
@@ -500,18 +512,33 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return stash(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "ordered")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 4_000_000, group_bytes: int = 4_000_000) -> DataFrame:
-    """One row per document: its bytes, removed bytes and spans, and the SHA-256 of what is kept. length must be over GRAM and at most GRAM + 250."""
-    if not GRAM < length <= GRAM + 250:
-        raise ValueError(f"length must lie above {GRAM} and at most {GRAM + 250}")
+def remove_repeats(
+    docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 2_000_000, group_bytes: int = 4_000_000, batch_bytes: int = 24_000_000, hot_contexts: int = 2048
+) -> DataFrame:
+    """One row per document: its bytes, removed bytes and spans, and the SHA-256 of what is kept. length must be over GRAM; a shard must hold several strings and at most LARGEST bytes with its padding."""
+    if not (GRAM < length and 2 * length < shard_bytes <= LARGEST - length):
+        raise ValueError(f"length must lie above {GRAM} and shard_bytes between 2 * length and {LARGEST} - length")
     rows = in_order(docs, doc_id, text)
-    found = rows.select("rid", "text").mapInArrow(_find(length), ROWS)
+    found = rows.select("rid", "text").mapInArrow(_find(length, shard_bytes, batch_bytes), ROWS)
+    older = F.row_number().over(W.partitionBy("h", "c", "e").orderBy("rid", "at")) > 1
+    compared = stash(found.select("h", "rid", "at", F.when((F.col("kind") == FLAG) | older, FLAG).otherwise(OCCURRENCE).alias("kind")), "compared")
+    firsts = compared.where(F.col("kind") == OCCURRENCE).select("h", "rid", "at")
+    several = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    wanted = stash(firsts.join(several, "h").select("h", "rid", "at", (F.col("n") > hot_contexts).alias("hot")), "wanted")
+
+    def cut(part: DataFrame, each_start: bool) -> DataFrame:
+        of_doc = part.groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))  # a document's own anchors
+        return _packed(rows).join(of_doc, "rid").select("rid", "blob", "wanted").mapInArrow(_cut(length, each_start), "h long, rid long, at long, bytes binary")
+
+    contexts = cut(wanted.where("not hot"), False)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = found.repartition(n, "h").sortWithinPartitions("h", "c", "rid", "at")
-    compared = stash(sorted_.mapInArrow(_compare, ROWS), "compared")
-    wanted = compared.where(F.col("kind") == OCCURRENCE).groupBy("rid").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))  # a document's own anchors
-    contexts = _packed(rows).join(wanted, "rid").select("rid", "blob", "wanted").mapInArrow(_cut(length), "h long, rid long, at long, bytes binary")
     resolved = contexts.repartition(n, "h").sortWithinPartitions("h", "rid", "at").mapInArrow(_resolve(length, shard_bytes, group_bytes), ROWS)
-    flags = compared.where(F.col("kind") == FLAG).unionByName(resolved)
-    runs = flags.groupBy("rid").agg(F.collect_list(F.struct(F.col("at").alias("a"), F.col("c").alias("b"))).alias("runs"))
+    flags = compared.where(F.col("kind") == FLAG).select("rid", "at").unionByName(resolved.select("rid", "at"))
+    hot = wanted.where("hot")
+    if not hot.isEmpty():
+        strings = stash(cut(hot, True).select("rid", "at", F.col("bytes").alias("s")), "hot-strings")
+        least = strings.groupBy("s").agg(F.min(F.struct("rid", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        again = strings.join(least, "s").where(F.struct("rid", "at") > F.col("first"))
+        flags = flags.unionByName(again.select("rid", "at"))
+    runs = flags.groupBy("rid").agg(F.collect_list("at").alias("runs"))
     return _packed(rows).join(runs, "rid", "left").select("doc_id", "blob", "runs").mapInArrow(_remove(length), RESULT)

@@ -450,7 +450,7 @@ def test_repeats_in_periodic_and_small_alphabets(spark):
 
 def test_suffix_array_and_common_prefixes():
     data = np.frombuffer(b"mississippi$missing$mississippi" + bytes(20), np.uint8)
-    order, _, _ = suffix_dedup.suffix_array(data, 20)
+    order = suffix_dedup.suffix_array(data, 20)
     raw = data.tobytes() + bytes(20)  # past its end the data counts as zeros
     cut = [raw[i : i + 20] for i in order]
     assert cut == sorted(cut)
@@ -461,6 +461,44 @@ def test_suffix_array_and_common_prefixes():
         assert lcp[k] == min(n, len(data) - max(order[k - 1 : k + 1]))
 
 
+def test_suffix_arrays_of_random_and_periodic_bytes():
+    rng = np.random.default_rng(8)
+    for data in (rng.integers(0, 3, 500), rng.integers(0, 256, 300), np.tile([1, 2, 1], 90), np.zeros(200), np.tile(rng.integers(0, 256, 60), 5)):
+        data = data.astype(np.uint8)
+        raw = data.tobytes() + bytes(40)
+        order = suffix_dedup.suffix_array(data, 40)
+        assert order.tolist() == sorted(range(len(data)), key=lambda i: (raw[i : i + 40], i))
+        lcp = suffix_dedup.common_prefixes(data, order, 40)
+        for k in range(1, len(order)):
+            i, j, n = int(order[k - 1]), int(order[k]), 0
+            while n < 40 and max(i, j) + n < len(data) and raw[i + n] == raw[j + n]:
+                n += 1
+            assert lcp[k] == n
+
+
+def test_strings_are_found_by_binary_search():
+    rng = np.random.default_rng(9)
+    data = np.concatenate((rng.integers(0, 2, 3000), np.zeros(60))).astype(np.uint8)
+    raw = data.tobytes()
+    places = {raw[i : i + 36]: i for i in range(0, 1500)}
+    starts = np.array([places[x] for x in sorted(places)])
+    needles = np.concatenate((starts[::7], np.arange(1600, 2900)))
+    low, found = suffix_dedup.search_strings(needles, data, starts, 36)
+    listed = sorted(places)
+    from bisect import bisect_left
+
+    assert low.tolist() == [bisect_left(listed, raw[i : i + 36]) for i in needles] and found.tolist() == [raw[i : i + 36] in places for i in needles]
+
+
+def test_repeats_are_decided_by_suffix_arrays(spark, sf_dir, monkeypatch):
+    """All of sf0.01, in one batch and in many, with hot anchors and without, against brute force."""
+    larger = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    want = sorted(plain_repeats(sorted((r.doc_id, r.text) for r in larger.select("doc_id", "text").collect()), 100), key=repr)
+    assert sum(r[2] for r in want) > 100_000
+    assert as_rows(suffix_dedup.remove_repeats(larger)) == want
+    assert as_rows(suffix_dedup.remove_repeats(larger, shard_bytes=30_000, group_bytes=50_000, batch_bytes=100_000, hot_contexts=3)) == want
+
+
 def test_repeats_in_odd_tables(odd, nothing):
     rows = sorted(((r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0] or 0, hashlib.sha256((x[1] or "").encode()).hexdigest()))
     assert as_rows(suffix_dedup.remove_repeats(odd)) == sorted(plain_repeats(rows, 100), key=repr)

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from quillfern.functions import phonetic as P
 from quillfern.functions.text import strip_punctuation
 from quillfern.operators import grouped as G
+from quillfern.plans import step_sql as Q
 from quillfern.plans.catalogue import query
 from quillfern.plans.q_series import activity, events, hourly
 from quillfern.sources.tables import table
@@ -23,21 +24,21 @@ def jaro_winkler(spark, sf_dir):
     return p.join(pairs, ["a", "b"]).select("p_partkey", "similarity")
 
 
-@query("metaphone_codes")
+@query("metaphone_codes", Q.METAPHONE)
 def metaphone_codes(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("i", "word"))
     codes = p.select("word").distinct().withColumn("code", P.word_udf(P.metaphone)("word"))
     return p.join(codes, "word").select("p_partkey", "i", "word", "code")
 
 
-@query("seqmatch_ratio")
+@query("seqmatch_ratio", Q.RATIO)
 def seqmatch_ratio(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), F.lower("p_type").alias("b"))
     pairs = p.select("a", "b").distinct().withColumn("ratio", F.round(P.pair_udf(P.sequence_ratio)("a", "b"), 6))
     return p.join(pairs, ["a", "b"]).select("p_partkey", "ratio", (F.col("ratio") >= 0.6).alias("alike"))
 
 
-@query("prominent_valleys")
+@query("prominent_valleys", Q.VALLEYS)
 def prominent_valleys(spark, sf_dir):
     def fn(d: pd.DataFrame) -> pd.DataFrame:
         x = -d["value"].to_numpy()
@@ -49,7 +50,7 @@ def prominent_valleys(spark, sf_dir):
     return G.per_group(events(spark, sf_dir), ["user_id"], ["us", "event_id"], "user_id long, event_id long, prominence double", fn)
 
 
-@query("onset_peaks")
+@query("onset_peaks", Q.ONSETS)
 def onset_peaks(spark, sf_dir):
     def fn(d: pd.DataFrame) -> pd.DataFrame:
         x = d["value"].to_numpy()
@@ -60,19 +61,19 @@ def onset_peaks(spark, sf_dir):
     return G.per_group(events(spark, sf_dir), ["user_id"], ["us", "event_id"], "user_id long, event_id long, from_event long", fn)
 
 
-@query("block_split")
+@query("block_split", Q.SPLIT)
 def block_split(spark, sf_dir):
     def fn(d: pd.DataFrame) -> pd.DataFrame:
         level = d["peak"].fillna(0.0).to_numpy()
         n = d["n"].to_numpy()
         wide = np.convolve(n > 0, np.ones(13), "same") > 0
-        out = G.split_blocks(wide, n > 1, level, np.flatnonzero(n == 0), 48, 6, 3, 2, 1)
+        out = G.split_blocks(wide, n > 1, level, np.flatnonzero(n == 0), 48, 6, 3, 4, 1)
         return pd.DataFrame({"user_id": d["user_id"], "frame": d["frame"], "active": out})
 
     return G.per_group(hourly(spark, sf_dir), ["user_id"], ["frame"], "user_id long, frame long, active boolean", fn)
 
 
-@query("bandpass")
+@query("bandpass", Q.bandpass_sql(200, 5000, 16000))
 def bandpass(spark, sf_dir):
     def fn(d: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"user_id": d["user_id"], "event_id": d["event_id"], "y": np.round(G.bandpass(d["value"].to_numpy(), 200, 5000, 16000), 6)})
@@ -80,7 +81,7 @@ def bandpass(spark, sf_dir):
     return G.per_group(events(spark, sf_dir), ["user_id"], ["us", "event_id"], "user_id long, event_id long, y double", fn)
 
 
-@query("spectral_features")
+@query("spectral_features", Q.SPECTRUM)
 def spectral_features(spark, sf_dir):
     def each(batches):
         for d in batches:
@@ -119,7 +120,7 @@ def align_stats(spark, sf_dir):
     return s.withColumn("wer", F.round(wer, 6)).withColumn("doubtful", F.col("wer") > 0.5)
 
 
-@query("sequence_diff")
+@query("sequence_diff", Q.DIFF)
 def sequence_diff(spark, sf_dir):
     def each(batches):
         for d in batches:
@@ -129,10 +130,10 @@ def sequence_diff(spark, sf_dir):
     return _adjacent(spark, sf_dir).select("conv_id", "turn", "ref", "hyp").mapInPandas(each, "conv_id long, turn long, n int, text string")
 
 
-@query("edge_interpolate")
+@query("edge_interpolate", Q.EDGES)
 def edge_interpolate(spark, sf_dir):
-    """A user's segments are the audio; each makes a line of six words, of which the outer ones lack times."""
-    a = activity(spark, sf_dir).select("user_id", "seg", (F.col("start") / 1e6).alias("s"), (F.col("stop") / 1e6).alias("e"))
+    """A user's segments, in units of six hours, are the audio; each makes a line of six words, of which the outer ones lack times."""
+    a = activity(spark, sf_dir).select("user_id", "seg", (F.col("start") / 2.16e10).alias("s"), (F.col("stop") / 2.16e10).alias("e"))
 
     def fn(d: pd.DataFrame) -> pd.DataFrame:
         segs = list(zip(d["s"], d["e"], strict=True))
@@ -169,17 +170,21 @@ def cluster_overlap(spark, sf_dir):
     return orders.select("l_orderkey", F.inline(F.aggregate("x", zero, step, lambda a: a.out))).select("l_orderkey", F.col("line").alias("l_linenumber"), "cluster")
 
 
-@query("resolve_boundaries")
+@query("resolve_boundaries", Q.BOUNDS)
 def resolve_boundaries(spark, sf_dir):
     """Three event types stand for three aligners of the same words; errors are onsets, activity segments the masks."""
-    def fn(d: pd.DataFrame) -> pd.DataFrame:
+
+    def fn(key: tuple, d: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(["us", "event_id"], kind="stable")
+        zero = int(d["us"].min()) if len(d) else 0
+        d = d.assign(t=(d["us"] - zero) / 1e6)
         at = {k: d[d["event_type"] == k] for k in ("click", "view", "purchase", "error")}
         n = min(len(at[k]) for k in ("click", "view", "purchase"))
         span = lambda k, i: (at[k]["t"].iloc[i], at[k]["t"].iloc[i] + 1 + at[k]["value"].iloc[i] / 100)
         words = [{"q": span("click", i), "w": span("view", i), "m": span("purchase", i), "ws": at["view"]["value"].iloc[i] / 500, "ms": at["purchase"]["value"].iloc[i] / 500} for i in range(n)]
-        masks = [(t, t + 3600.0) for t in d["t"].iloc[:: 10]]
+        masks = [((a - zero) / 1e6, (b - zero) / 1e6) for a, b in sorted(zip(m["start"].tolist(), m["stop"].tolist(), strict=True))]
         out = G.resolve_bounds(words, np.sort(at["error"]["t"].to_numpy()), masks)
-        return pd.DataFrame({"user_id": int(d["user_id"][0]), "word": range(n), "start_s": [round(o[0], 3) for o in out], "end_s": [round(o[1], 3) for o in out], "score": [round(float(o[2]), 6) for o in out]})
+        return pd.DataFrame({"user_id": [int(key[0])] * n, "word": range(n), "start_s": [round(o[0], 3) for o in out], "end_s": [round(o[1], 3) for o in out], "score": [round(float(o[2]), 6) for o in out]})
 
-    e = events(spark, sf_dir).withColumn("t", (F.col("us") - F.min("us").over(W.partitionBy("user_id"))) / 1e6)
-    return G.per_group(e, ["user_id"], ["us", "event_id"], "user_id long, word int, start_s double, end_s double, score double", fn)
+    e, masks = events(spark, sf_dir).where("user_id is not null"), activity(spark, sf_dir).select("user_id", "start", "stop")
+    return e.groupBy("user_id").cogroup(masks.groupBy("user_id")).applyInPandas(fn, "user_id long, word int, start_s double, end_s double, score double")

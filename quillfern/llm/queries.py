@@ -41,16 +41,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts all documents; takes back those labelled toxic and revises those labelled bad (runs of blanks become one); sends the first batch again (no effect); compacts; returns the totals."""
+    """Inserts all documents; revises those with long numbers, which are masked; takes back those labelled toxic; sends the first batch again (no effect); compacts; returns the totals."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rollup = token_counts.Rollup(spark, fresh_path(spark, "rollup"))
     load = docs.select("doc_id", F.lit("insert").alias("op"), "source", "lang", "text")
     rollup.commit("load", load)
-    toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    bad = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
-    gone = toxic.select("doc_id", F.lit("delete").alias("op"), *(F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")))
-    revised = docs.join(bad, "doc_id", "left_semi").select("doc_id", F.lit("revise").alias("op"), "source", "lang", F.regexp_replace("text", "[ \t]+", " ").alias("text"))
-    rollup.commit("review", gone.unionByName(revised))
+    long_number = "[0-9]{6,}"
+    rollup.commit("mask", docs.where(F.col("text").rlike(long_number)).select("doc_id", F.lit("revise").alias("op"), "source", "lang", F.regexp_replace("text", long_number, "#").alias("text")))
+    rollup.commit("takedown", labels.where("toxic = 1").select("doc_id", F.lit("delete").alias("op"), *(F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text"))))
     rollup.commit("load", load)
     rollup.compact()
     return rollup.totals()

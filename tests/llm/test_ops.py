@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillfern.llm import components, decontam, license_scan, piece_sampling, quality_fm, quality_rules, queries, secret_scan, sharding, simhash, suffix_dedup, token_counts
+from quillfern.llm import components, decontam, license_scan, piece_sampling, quality_fm, quality_rules, queries, secret_scan, sharding, shingle_links, simhash, suffix_dedup, token_counts
 from quillfern.llm.common import DOCUMENT_COLUMNS
 from tests.oracle import oracle_rows, rows_of
 
@@ -268,6 +268,7 @@ def test_keep_one_links_all_pairs_of_similarity_08(spark):
     df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(rows)], SCHEMA)
     assert 12 <= len(want) < len(rows) - 6
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+    assert {r.component_id for r in shingle_links.near_copies(df, block=2).collect()} == want  # buckets dealt in pairs of blocks
 
 
 # -- 4 --------------------------------------------------------------------------------------------

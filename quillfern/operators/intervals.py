@@ -63,3 +63,36 @@ def positional_join(left: DataFrame, right: DataFrame, keys: list[str], left_ord
     a = left.withColumn("pos", F.row_number().over(W.partitionBy(*keys).orderBy(*left_order)))
     b = right.withColumn("pos", F.row_number().over(W.partitionBy(*keys).orderBy(*right_order)))
     return a.join(b, [*keys, "pos"])
+
+
+def positional_zip(rows: DataFrame, keys: list[str], source: str, order: list[str], value: str, names: dict[str, str]) -> DataFrame:
+    """The k-th values of every source side by side, per key, as far as all sources go; even: whether they have equally many. names: source -> column.
+
+    One shuffle by the keys: places are numbered within key and source, and sources become columns in an aggregate.
+    """
+    placed = rows.withColumn("pos", F.row_number().over(W.partitionBy(*keys, source).orderBy(*order)))
+    sizes = [F.count_if(F.col(source) == s).over(W.partitionBy(*keys)) for s in names]
+    even = sizes[0] == sizes[0]
+    for n in sizes[1:]:
+        even = even & (n == sizes[0])
+    placed = placed.withColumn("even", even)
+    wide = placed.groupBy(*keys, "pos").agg(*(F.max(F.when(F.col(source) == s, F.col(value))).alias(c) for s, c in names.items()), F.count(F.lit(1)).alias("__n"), F.first("even").alias("even"))
+    return wide.where(F.col("__n") == len(names)).drop("__n")
+
+
+def nearest_of_many(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, source: str, reach: int) -> DataFrame:
+    """For every left row with a right row less than reach away the nearest one of all sources; ties go to the smaller source, then to the earlier time.
+
+    The last right row up to a left row's time and the first one from it on are the only ones that can win, so two running windows find both.
+    """
+    cols = left.columns
+    none = F.lit(None).cast("struct<t:bigint,s:int>")
+    mine = left.select(*cols, F.col(left_at).cast("long").alias("__t"), none.alias("__r"), F.lit(True).alias("__left"))
+    other = right.select(*keys, F.col(right_at).cast("long").alias("__t"), F.struct(F.col(right_at).cast("long").alias("t"), F.col(source).cast("int").alias("s")).alias("__r"), F.lit(False).alias("__left"))
+    both = mine.unionByName(other, allowMissingColumns=True)
+    back = W.partitionBy(*keys).orderBy("__t", "__left", F.desc(F.col("__r.s"))).rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.partitionBy(*keys).orderBy(F.desc("__t"), "__left", F.desc(F.col("__r.s"))).rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("__b", F.last("__r", ignorenulls=True).over(back)).withColumn("__a", F.last("__r", ignorenulls=True).over(ahead)).where("__left")
+    rank = lambda c: F.struct(F.abs(F.col(f"{c}.t") - F.col("__t")).alias("d"), F.col(f"{c}.s").alias("s"), F.col(f"{c}.t").alias("t"))
+    found = F.array_min(F.filter(F.array(*(F.when(F.col(c).isNotNull(), rank(c)) for c in ("__b", "__a"))), lambda x: x.isNotNull() & (x.d < reach)))
+    return both.withColumn("__w", found).where("__w is not null").select(*cols, F.col("__w.t").alias(right_at), F.col("__w.s").alias(source))

@@ -85,9 +85,16 @@ def max_normalize(df: DataFrame, keys, value: str, name: str = "normalized") ->
     return df.withColumn(name, F.try_divide(F.col(value), F.max(value).over(W.partitionBy(*_names(keys)))))
 
 
-def standardize(df: DataFrame, keys, value: str, name: str = "standardized") -> DataFrame:
+def standardize(df: DataFrame, keys, value: str, name: str = "standardized", keep: bool = False) -> DataFrame:
+    """(value - mean) / deviation per series; keep: name_mean and name_std stay, for destandardized()."""
     w = W.partitionBy(*_names(keys))
-    return df.withColumn(name, (F.col(value) - F.avg(value).over(w)) / (F.stddev_samp(value).over(w) + 1e-8))
+    df = df.withColumn(f"{name}_mean", F.avg(value).over(w)).withColumn(f"{name}_std", F.stddev_samp(value).over(w) + 1e-8)
+    df = df.withColumn(name, (F.col(value) - F.col(f"{name}_mean")) / F.col(f"{name}_std"))
+    return df if keep else df.drop(f"{name}_mean", f"{name}_std")
+
+
+def destandardized(value: str, mean: str, std: str) -> Column:
+    return F.col(value) * F.col(std) + F.col(mean)
 
 
 def local_minima(df: DataFrame, keys, order, value: str, name: str = "is_valley") -> DataFrame:

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quillfern.plans import q_grouped, q_series, q_tables, q_text  # noqa: F401
+from quillfern.plans import q_grouped, q_media, q_series, q_tables, q_text  # noqa: F401

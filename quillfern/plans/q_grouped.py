@@ -158,8 +158,10 @@ select k as l_orderkey, line as l_linenumber, cluster from r"""
 @query("cluster_overlap", _CLUSTER_SQL)
 def cluster_overlap(spark, sf_dir):
     """Lines of an order that share a supplier group with the running cluster join it: one fold over the order's own lines."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.array_sort(F.collect_set(F.col("l_suppkey") % 4)).alias("ids"))
-    orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "ids"))).alias("x"))
+    found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.struct(F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 4).alias("id")))).alias("found"))
+    lines = F.array_distinct(F.transform("found", lambda f: f.line))
+    own = lambda n: F.transform(F.filter("found", lambda f: f.line == n), lambda f: f.id)
+    orders = found.select("l_orderkey", F.transform(lines, lambda n: F.struct(n.alias("l_linenumber"), own(n).alias("ids"))).alias("x"))
     zero = F.struct(F.array().cast("array<bigint>").alias("held"), F.lit(-1).alias("k"), F.array().cast("array<struct<line:int,cluster:int>>").alias("out"))
 
     def step(a, x):

@@ -59,7 +59,10 @@ a as (select user_id, frame, sum(k) over (partition by user_id order by frame ro
 s as (select user_id, min(frame) as start, max(frame) + 1 as stop from a group by user_id, k)
 select user_id, start as start_frame, stop as stop_frame, cast(row_number() over (partition by user_id order by start) - 1 as bigint) as seg from s where stop - start > 2""")
 def merge_gaps_frames(spark, sf_dir):
-    runs = S.islands(hourly(spark, sf_dir), "user_id", "frame", "active")
+    hours = events(spark, sf_dir).select("user_id", F.floor(F.col("us") / F.lit(HOUR)).cast("long").alias("hour")).distinct()
+    # Active hours alone make the runs: no grid of silent ones is needed.
+    frames = hours.select("user_id", (F.col("hour") - F.min("hour").over(W.partitionBy("user_id"))).alias("frame"), F.lit(True).alias("active"))
+    runs = S.islands(frames, "user_id", "frame", "active")
     return S.merge_and_drop(runs, "user_id", 3, 2).select("user_id", F.col("start").alias("start_frame"), F.col("stop").alias("stop_frame"), F.col("seg").cast("long").alias("seg"))
 
 
@@ -183,12 +186,12 @@ def asof_forward(spark, sf_dir):
 
 
 @query("padded_windows", ACTIVITY_SQL + """
-select user_id, cast(seg as bigint) as seg, greatest(0, greatest(start, start - 1000000) - 500000) as pad_start,
+select user_id, cast(seg as bigint) as seg, greatest(0, start - 500000) as pad_start,
   least(stop, lead(start, 1, stop) over (partition by user_id order by seg) + 1000000) + 500000 as pad_end from act""")
 def padded_windows(spark, sf_dir):
     a = activity(spark, sf_dir)
     nxt = F.lead("start").over(S.over("user_id", "seg"))
-    return a.select("user_id", F.col("seg").cast("long").alias("seg"), F.greatest(F.lit(0), F.greatest(F.col("start"), F.col("start") - 1_000_000) - 500_000).alias("pad_start"), (F.least(F.col("stop"), F.coalesce(nxt, F.col("stop")) + 1_000_000) + 500_000).alias("pad_end"))
+    return a.select("user_id", F.col("seg").cast("long").alias("seg"), F.greatest(F.lit(0), F.col("start") - 500_000).alias("pad_start"), (F.least(F.col("stop"), F.coalesce(nxt, F.col("stop")) + 1_000_000) + 500_000).alias("pad_end"))
 
 
 @query("shift_to_global", ACTIVITY_SQL + """ select e.event_id, e.user_id, cast(seg as bigint) as seg, e.us - start as local_us, e.us - start + start as global_us from e join act on e.user_id = act.user_id and e.us between start and stop""")
@@ -208,13 +211,13 @@ def ordered_segments(spark, sf_dir):
 
 @query("quality_checks", ACTIVITY_SQL + """
 select user_id, cast(seg as bigint) as seg, stop > start as non_empty, coalesce(lag(stop) over w < start, true) as ordered, seg = row_number() over w - 1 as numbered,
-  abs((stop - start) / 1e6 - round((stop - start) / 1e6, 2)) <= 0.03 + 1e-5 * abs((stop - start) / 1e6) as close_, isfinite(start / 1e6) as finite_ from act window w as (partition by user_id order by seg)""")
+  abs((stop - start) / 7e6 - round((stop - start) / 7e6)) <= 0.03 + 1e-5 * abs(round((stop - start) / 7e6)) as close_, isfinite(start / 1e6) as finite_ from act window w as (partition by user_id order by seg)""")
 def quality_checks(spark, sf_dir):
     w = S.over("user_id", "seg")
-    d = (F.col("stop") - F.col("start")) / F.lit(1e6)
+    d = (F.col("stop") - F.col("start")) / F.lit(7e6)  # lengths are compared with whole multiples of seven seconds
     return activity(spark, sf_dir).select(
         "user_id", F.col("seg").cast("long").alias("seg"), (F.col("stop") > F.col("start")).alias("non_empty"), F.coalesce(F.lag("stop").over(w) < F.col("start"), F.lit(True)).alias("ordered"),
-        (F.col("seg") == F.row_number().over(w) - 1).alias("numbered"), (F.abs(d - F.round(d, 2)) <= 0.03 + 1e-5 * F.abs(d)).alias("close_"), (~F.isnan(F.col("start") / F.lit(1e6)) & (F.abs(F.col("start") / F.lit(1e6)) != float("inf"))).alias("finite_"))
+        (F.col("seg") == F.row_number().over(w) - 1).alias("numbered"), (F.abs(d - F.round(d)) <= 0.03 + 1e-5 * F.abs(F.round(d))).alias("close_"), (~F.isnan(F.col("start") / F.lit(1e6)) & (F.abs(F.col("start") / F.lit(1e6)) != float("inf"))).alias("finite_"))
 
 
 @query("session_window_stream", E_SQL + f""",

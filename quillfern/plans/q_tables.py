@@ -61,14 +61,15 @@ def project_alignment(spark, sf_dir):
 
 
 @query("set_ops", """
-with c as (select distinct user_id from events where event_type = 'click' and value > 40), p as (select distinct user_id from events where event_type = 'purchase' and value > 40)
-select 'union' as op, user_id from (select * from c union select * from p) union all select 'intersect', user_id from (select * from c intersect select * from p)
-union all select 'except', user_id from (select * from c except select * from p) union all select 'symmetric', user_id from ((select * from c except select * from p) union all (select * from p except select * from c))""")
+with e as (select user_id, epoch_us(ts) // 86400000000 as day, event_type from events), c as (select distinct user_id, day from e where event_type = 'click'), p as (select distinct user_id, day from e where event_type = 'purchase')
+select 'union' as op, user_id, day from (select * from c union select * from p) union all select 'intersect', user_id, day from (select * from c intersect select * from p)
+union all select 'except', user_id, day from (select * from c except select * from p) union all select 'symmetric', user_id, day from ((select * from c except select * from p) union all (select * from p except select * from c))""")
 def set_ops(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type in ('click', 'purchase') and value > 40")
-    flags = e.groupBy("user_id").agg(F.bool_or(F.col("event_type") == "click").alias("c"), F.bool_or(F.col("event_type") == "purchase").alias("p"))
+    """Days of a user with clicks and with purchases: all four operations from one aggregate."""
+    e = table(spark, sf_dir, "events").where("event_type in ('click', 'purchase')").withColumn("day", F.floor(us("ts") / F.lit(DAY)).cast("long"))
+    flags = e.groupBy("user_id", "day").agg(F.bool_or(F.col("event_type") == "click").alias("c"), F.bool_or(F.col("event_type") == "purchase").alias("p"))
     ops = F.array_compact(F.array(F.lit("union"), F.when(F.col("c") & F.col("p"), "intersect"), F.when(F.col("c") & ~F.col("p"), "except"), F.when(F.col("c") != F.col("p"), "symmetric")))
-    return flags.select(F.explode(ops).alias("op"), "user_id")
+    return flags.select(F.explode(ops).alias("op"), "user_id", "day")
 
 
 @query("weighted_blend", "select l_partkey, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 6) as blended from lineitem group by l_partkey")
@@ -117,8 +118,10 @@ def residual(spark, sf_dir):
 
 @query("frame_energy", X_SQL + ", e as (select vec_id, any_value(label) as label, sum(v * v) as e from x group by vec_id) select vec_id, round(e, 6) as energy, round(e / max(e) over (partition by label), 6) as share from e")
 def frame_energy(spark, sf_dir):
+    """The largest energy of each label is an aggregate that is joined back; labels are few and may be hot."""
     e = _vectors(spark, sf_dir).select("vec_id", "label", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("e"))
-    return e.select("vec_id", F.round("e", 6).alias("energy"), F.round(F.col("e") / F.max("e").over(W.partitionBy("label")), 6).alias("share"))
+    top = e.groupBy(F.col("label").alias("of")).agg(F.max("e").alias("top"))
+    return e.join(top, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", F.round("e", 6).alias("energy"), F.round(F.col("e") / F.col("top"), 6).alias("share"))
 
 
 @query("slice_frames", X_SQL + " select vec_id, round(sum(v), 6) as total, count(*) as n from x where k >= cast(0.25 * 64 as integer) and k < cast(0.6 * 64 as integer) group by vec_id")
@@ -128,11 +131,11 @@ def slice_frames(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", F.round(F.aggregate(part, F.lit(0.0), lambda s, v: s + v), 6).alias("total"), F.size(part).cast("long").alias("n"))
 
 
-@query("shift_average", X_SQL + " select vec_id, k, round(avg(v * (1 + s / 100.0)), 6) as mean_ from x, (values (0), (3), (7)) t(s) group by 1, 2")
+@query("shift_average", X_SQL + " select vec_id, k, round(avg(v * (1 + (k + s) / 100.0)), 6) as mean_ from x, (values (0), (3), (7)) t(s) group by 1, 2")
 def shift_average(spark, sf_dir):
-    # Each shift moves the samples, scales them as a model would and is undone before averaging.
+    # Each shift moves the samples; what stands for the model depends on where a sample then is; the shift is undone before averaging.
     x = _vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("k", "v"))
-    moved = x.withColumn("s", F.explode(F.array(*map(F.lit, (0, 3, 7))))).withColumn("at", F.col("k") + F.col("s")).withColumn("y", F.col("v") * (1 + F.col("s") / 100.0))
+    moved = x.withColumn("s", F.explode(F.array(*map(F.lit, (0, 3, 7))))).withColumn("at", F.col("k") + F.col("s")).withColumn("y", F.col("v") * (1 + F.col("at") / 100.0))
     return moved.groupBy("vec_id", (F.col("at") - F.col("s")).cast("long").alias("k")).agg(F.round(F.avg("y"), 6).alias("mean_"))
 
 
@@ -151,12 +154,16 @@ s as (select conv_id, turn, i, word, cast(e - d as bigint) as s, cast(e as bigin
 l as (select conv_id, turn, min(s) as s, max(e) as e, string_agg(word, ' ' order by i) as text from s group by 1, 2)"""
 
 
-def _times(spark, sf_dir):
+def _lines(spark, sf_dir):
+    """Per turn its words with their times, as one array, and the line's first start and last end. Only lines are windowed, never words."""
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(words).alias("p", "word")).withColumn("i", F.col("p") + 1)
-    d = 5 * F.length("word")
-    e = F.sum(d + 10 + F.when(F.col("i") == 1, 20 * (F.col("turn") % 8)).otherwise(0)).over(W.partitionBy("conv_id").orderBy("turn", "i").rowsBetween(W.unboundedPreceding, 0))
-    return w.withColumn("e", e).withColumn("s", F.col("e") - d).select("conv_id", "turn", "i", "word", "s", "e")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("words")).where(F.size("words") > 0)
+    length = lambda ws: F.aggregate(ws, F.lit(0).cast("long"), lambda a, w: a + 5 * F.length(w) + 10)
+    rows = rows.withColumn("total", length(F.col("words")) + 20 * (F.col("turn") % 8))
+    rows = rows.withColumn("base", F.sum("total").over(W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)) - length(F.col("words")))
+    timed = F.transform("words", lambda w, i: F.struct(w.alias("word"), (F.col("base") + length(F.slice("words", 1, i + 1))).alias("e"), (F.col("base") + length(F.slice("words", 1, i + 1)) - 5 * F.length(w)).alias("s")))
+    rows = rows.withColumn("w", timed)
+    return rows.select("conv_id", "turn", "w", F.array_join("words", " ").alias("text"), F.get("w", F.lit(0)).s.alias("ls"), F.element_at("w", -1).e.alias("le"))
 
 
 @query("ass_events", _TIMES_SQL + r""",
@@ -169,22 +176,24 @@ select conv_id, turn, 'Dialogue: 0,' || printf('%d:%02d:%d.%02d', any_value(ps)
   || ',' || case when regexp_matches(any_value(text), '[一-鿿぀-ヿ가-힯]') then 'CJK_Duet' else 'Lat_Duet' end || ',,0,0,0,,{\fad(' || greatest(0, least(300, (any_value(ls) - any_value(ps)) * 10)) || ',' || greatest(0, least(300, (any_value(pe) - any_value(le)) * 10)) || ')}{\an2}'
   || string_agg('{\kf' || lead_ || '}{\kf' || (e - s) || '}' || word || '{\kf' || tail_ || '} ', '' order by i) as event from g group by conv_id, turn""")
 def ass_events(spark, sf_dir):
-    """Subtitle events in whole centiseconds: padding depends on the neighbouring lines alone, so lag and lead do."""
-    w = _times(spark, sf_dir)
-    conv, line = W.partitionBy("conv_id").orderBy("turn"), W.partitionBy("conv_id", "turn").orderBy("i")
-    seg = w.groupBy("conv_id", "turn").agg(F.min("s").alias("ls"), F.max("e").alias("le"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x.word), " ").alias("text"))
+    """Subtitle events in whole centiseconds: padding depends on the neighbouring lines alone, so lag and lead over lines do; words stay in their line's array."""
+    conv = W.partitionBy("conv_id").orderBy("turn")
+    zero = F.lit(0).cast("long")
     nx = F.lead("ls").over(conv)
-    share = lambda gap: F.floor(F.greatest(F.lit(0).cast("long"), gap) * 7 / F.lit(10)).cast("long")
-    seg = seg.withColumn("pe", F.when(nx.isNull(), F.col("le") + 100).otherwise(F.col("le") + F.least(share(nx - F.col("le")), F.lit(150))))
-    seg = seg.withColumn("ps", F.greatest(F.lit(0).cast("long"), F.col("ls") - 80, F.coalesce(F.lag("pe").over(conv), F.lit(0))))
-    k = w.join(seg, ["conv_id", "turn"])
-    before, after = F.coalesce(F.lag("e").over(line), F.col("ps")), F.coalesce(F.lead("s").over(line), F.col("pe"))
-    k = k.withColumn("lead_", F.greatest(F.lit(0).cast("long"), F.col("s") - F.greatest(F.col("s") - 30, before))).withColumn("tail_", F.least(share(after - F.col("e")), F.lit(60)))
-    token = F.concat(F.lit("{\\kf"), F.col("lead_"), F.lit("}{\\kf"), F.col("e") - F.col("s"), F.lit("}"), "word", F.lit("{\\kf"), F.col("tail_"), F.lit("} "))
-    ev = k.groupBy("conv_id", "turn", "ps", "pe", "ls", "le", "text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", token.alias("t")))), lambda x: x.t), "").alias("body"))
-    fade = lambda d: F.greatest(F.lit(0).cast("long"), F.least(F.lit(300).cast("long"), d * 10))
+    share = lambda gap: F.floor(F.greatest(zero, gap) * 7 / F.lit(10)).cast("long")
+    seg = _lines(spark, sf_dir).withColumn("pe", F.when(nx.isNull(), F.col("le") + 100).otherwise(F.col("le") + F.least(share(nx - F.col("le")), F.lit(150))))
+    seg = seg.withColumn("ps", F.greatest(zero, F.col("ls") - 80, F.coalesce(F.lag("pe").over(conv), zero)))
+
+    def token(x, i):
+        before = F.when(i == 0, F.col("ps")).otherwise(F.get("w", i - 1).e)
+        after = F.coalesce(F.get("w", i + 1).s, F.col("pe"))
+        lead, tail = F.greatest(zero, x.s - F.greatest(x.s - 30, before)), F.least(share(after - x.e), F.lit(60))
+        return F.concat(F.lit("{\\kf"), lead, F.lit("}{\\kf"), x.e - x.s, F.lit("}"), x.word, F.lit("{\\kf"), tail, F.lit("} "))
+
+    fade = lambda d: F.greatest(zero, F.least(F.lit(300).cast("long"), d * 10))
     style = F.when(T.has_cjk(F.col("text")), "CJK_Duet").otherwise("Lat_Duet")
-    return ev.select("conv_id", "turn", F.concat(F.lit("Dialogue: 0,"), T.ass_time(F.col("ps")), F.lit(","), T.ass_time(F.col("pe")), F.lit(","), style, F.lit(",,0,0,0,,{\\fad("), fade(F.col("ls") - F.col("ps")), F.lit(","), fade(F.col("pe") - F.col("le")), F.lit(")}{\\an2}"), "body").alias("event"))
+    body = F.array_join(F.transform("w", token), "")
+    return seg.select("conv_id", "turn", F.concat(F.lit("Dialogue: 0,"), T.ass_time(F.col("ps")), F.lit(","), T.ass_time(F.col("pe")), F.lit(","), style, F.lit(",,0,0,0,,{\\fad("), fade(F.col("ls") - F.col("ps")), F.lit(","), fade(F.col("pe") - F.col("le")), F.lit(")}{\\an2}"), body).alias("event"))
 
 
 @query("subtitle_legacy", _TIMES_SQL + r""",
@@ -193,14 +202,17 @@ k as (select s.*, q.ds, q.de, s.s - coalesce(lag(s.e) over (partition by s.conv_
 select conv_id, turn, printf('%d:%02d:%02d.%02d', any_value(ds) // 360000, any_value(ds) // 6000 % 60, any_value(ds) // 100 % 60, any_value(ds) % 100) as shown, printf('%d:%02d:%02d.%02d', any_value(de) // 360000, any_value(de) // 6000 % 60, any_value(de) // 100 % 60, any_value(de) % 100) as hidden,
   string_agg(case when gap > 1 then '{\kf' || gap || '} ' else '' end || '{\kf' || greatest(1, e - s) || '}' || word || ' ', '' order by i) || '{\kf10}' as body from k group by conv_id, turn""")
 def subtitle_legacy(spark, sf_dir):
-    w = _times(spark, sf_dir)
-    conv, line = W.partitionBy("conv_id").orderBy("turn"), W.partitionBy("conv_id", "turn").orderBy("i")
-    seg = w.groupBy("conv_id", "turn").agg(F.min("s").alias("ls"), F.max("e").alias("le")).withColumn("de", F.col("le") + 10)
-    seg = seg.withColumn("ds", F.greatest(F.lit(0).cast("long"), F.col("ls") - 80, F.coalesce(F.lag("de").over(conv), F.lit(0))))
-    k = w.join(seg, ["conv_id", "turn"]).withColumn("gap", F.col("s") - F.coalesce(F.lag("e").over(line), F.col("ds")))
-    token = F.concat(F.when(F.col("gap") > 1, F.concat(F.lit("{\\kf"), F.col("gap"), F.lit("} "))).otherwise(""), F.lit("{\\kf"), F.greatest(F.lit(1).cast("long"), F.col("e") - F.col("s")), F.lit("}"), "word", F.lit(" "))
-    rows = k.groupBy("conv_id", "turn", "ds", "de").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", token.alias("t")))), lambda x: x.t), "").alias("b"))
-    return rows.select("conv_id", "turn", T.legacy_time(F.col("ds")).alias("shown"), T.legacy_time(F.col("de")).alias("hidden"), F.concat("b", F.lit("{\\kf10}")).alias("body"))
+    conv = W.partitionBy("conv_id").orderBy("turn")
+    zero = F.lit(0).cast("long")
+    seg = _lines(spark, sf_dir).withColumn("de", F.col("le") + 10)
+    seg = seg.withColumn("ds", F.greatest(zero, F.col("ls") - 80, F.coalesce(F.lag("de").over(conv), zero)))
+
+    def token(x, i):
+        gap = x.s - F.when(i == 0, F.col("ds")).otherwise(F.get("w", i - 1).e)
+        return F.concat(F.when(gap > 1, F.concat(F.lit("{\\kf"), gap, F.lit("} "))).otherwise(""), F.lit("{\\kf"), F.greatest(F.lit(1).cast("long"), x.e - x.s), F.lit("}"), x.word, F.lit(" "))
+
+    body = F.concat(F.array_join(F.transform("w", token), ""), F.lit("{\\kf10}"))
+    return seg.select("conv_id", "turn", T.legacy_time(F.col("ds")).alias("shown"), T.legacy_time(F.col("de")).alias("hidden"), body.alias("body"))
 
 
 @query("monotonic_clamp", """

@@ -95,9 +95,9 @@ def safe_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.safe_title(F.regexp_extract("html", TITLE, 1)).alias("safe"))
 
 
-@query("strip_punct", r"""select item_id, trim(lower(regexp_replace(text, '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'))) as plain from benchmark""")
+@query("strip_punct", r"""select doc_id, trim(lower(regexp_replace(text, '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'))) as plain from documents""")
 def strip_punct(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", T.strip_punctuation(F.col("text")).alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_punctuation(F.col("text")).alias("plain"))
 
 
 @query("cjk_style", "select doc_id, case when regexp_matches(text, '[一-鿿぀-ヿ가-힯]') then 'CJK_Duet' else 'Lat_Duet' end as style, regexp_matches(text, '[\u1100-\u11ff\u3000-\u30ff\u3130-\u318f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\uff65-\uff9f]') as any_cjk from documents")
@@ -205,9 +205,9 @@ def neighbour_lines(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", n.alias("n"), F.lag(n).over(w).alias("before_"), F.lead(n).over(w).alias("after_"))
 
 
-@query("latin_fold", f"select item_id, regexp_replace(replace(translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}'), 'ß', 'ss'), '[^a-z\\s]', '', 'g') as latin from benchmark")
+@query("latin_fold", f"select doc_id, regexp_replace(replace(translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}'), 'ß', 'ss'), '[^a-z\\s]', '', 'g') as latin from documents")
 def latin_fold(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", T.latin_fold(F.col("text")).alias("latin"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.latin_fold(F.col("text")).alias("latin"))
 
 
 @query("id_template", "select page_id, lpad(cast(page_id as varchar), cast(greatest(4, length(cast(page_id as varchar))) as integer), '0') || '_' as name from pages")
@@ -230,15 +230,15 @@ def legacy_fields(spark, sf_dir):
 
 
 @query("char_span_scores", rf"""
-with w as (select item_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as word from (select item_id, regexp_extract_all(text, '{WORDS}') as ws from benchmark))
-select item_id, i - 1 as word_idx, coalesce(sum(length(word)) over (partition by item_id order by i rows between unbounded preceding and 1 preceding), 0) as from_,
-sum(length(word)) over (partition by item_id order by i rows unbounded preceding) as to_, round(length(word) / 10.0, 6) as score from w""")
+with w as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as word from (select doc_id, regexp_extract_all(text, '{WORDS}') as ws from documents))
+select doc_id, i - 1 as word_idx, coalesce(sum(length(word)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as from_,
+sum(length(word)) over (partition by doc_id order by i rows unbounded preceding) as to_, round(length(word) / 10.0, 6) as score from w""")
 def char_span_scores(spark, sf_dir):
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(words).alias("i", "word")).withColumn("n", F.length("word"))
-    w = W.partitionBy("item_id").orderBy("i")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("i", "word")).withColumn("n", F.length("word"))
+    w = W.partitionBy("doc_id").orderBy("i")
     upto = F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return rows.select("item_id", F.col("i").cast("long").alias("word_idx"), (upto - F.col("n")).alias("from_"), upto.alias("to_"), F.round(F.col("n") / F.lit(10.0), 6).alias("score"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("word_idx"), (upto - F.col("n")).alias("from_"), upto.alias("to_"), F.round(F.col("n") / F.lit(10.0), 6).alias("score"))
 
 
 @query("hex_rgba", """with c as (select c_custkey, rpad(substr(sha256(c_name), 1, 6 + cast(2 * (c_custkey % 2) as integer)), 8, 'F') as h from customer),

@@ -45,6 +45,7 @@ def write_sidecars(tracks: DataFrame, path: str, artist: str = "artist", title:
 
     said = F.coalesce(F.nullif(F.col(lyrics), F.lit("")), F.lit("No lyrics available for this track."))
     name = F.coalesce(F.col(filename), F.lit(""))
+    # The headings and field names of the file.
     text = F.concat(
         F.lit("## Metadata\n* **Title:** "), F.coalesce(F.col(title), F.lit("unknown")), F.lit("\n* **Artist:** "), F.coalesce(F.col(artist), F.lit("Unknown")),
         F.lit("\n* **Duration:** "), F.coalesce(F.col(duration), F.lit(0)).cast("string"), F.lit(" seconds\n\n## Local File\n* **Filename:** ["), name, F.lit("](./"), name, F.lit(")\n\n## Lyrics\n"), said,

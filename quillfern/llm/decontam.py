@@ -5,10 +5,13 @@ characters, joined by single blanks. Every window of 13 consecutive item words (
 words, but not none, is one window) is a pattern of the automaton, which reads each document once.
 Hits become word positions and, through the byte offsets of the words, spans of the original text.
 
-The items are broadcast. Their size is measured first; those beyond max_bytes of text go into further
-automata of that bound, whose hits are merged per document. A worker process builds an automaton once
-and holds one at a time; it takes about 160 times the bytes of its items (measured: 162 MB for 1 MB of
-random words, 320 MB for 2 MB), so max_bytes bounds a worker's memory too.
+The automaton holds every seventh stretch of seven words of an item: each window of 13 words holds one of them in full. Where one
+is hit, the words on both sides are compared with the item's, six at most, which gives all windows around it. So the
+automaton takes two nodes a word in place of 26. An item of fewer words than a window is held in full.
+
+The items are broadcast, as one automaton, if their text has at most max_bytes; a worker process builds it once, at about 20 times
+those bytes. More items than that make further automata, one after the other: the driver holds two groups of items at most,
+a worker one automaton, and their hits are merged per document.
 
 Defined cases: null or empty texts have no words and are never contaminated; null items and items
 without words are ignored; items of the same text all count; repeated rows each get a row; an empty
@@ -17,6 +20,7 @@ benchmark hits nothing. Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 from quillfern.llm.common import id_and_text, stash, text_slices
 
 WINDOW = 13
+#: Bytes of item text that one automaton holds.
+MAX_BYTES = 16_000_000
 #: First code points of a word code's two characters, and the code of words that no item holds.
 HIGH, LOW, NO_WORD = 0x10000, 0x20000, "  "
 #: A-Z to a-z; ASCII characters that are neither letters nor digits to blanks; bytes of non-ASCII characters stay.
@@ -39,39 +45,60 @@ def folded_words(text: str) -> list[bytes]:
     return text.encode().translate(FOLD).split()
 
 
-def windows(words: list, size: int = WINDOW) -> Iterator[list]:
-    for i in range(max(1, len(words) - size + 1) if words else 0):
-        yield words[i : i + size]
-
-
 class Patterns:
-    """The automaton of all windows of a group of items, over codes of words.
+    """The automaton of a group of items, over codes of words.
 
     A word's code is two characters, the quotient and the remainder of its number by about the root of the vocabulary, from alphabets
-    that do not meet: hits lie at word starts, a window takes 26 nodes however long its words are, and no node
+    that do not meet: hits lie at word starts, a pattern takes two nodes a word however long words are, and no node
     has more children than that root, which matters as the automaton looks through them one by one.
     """
 
     def __init__(self, items: list[tuple[int, str]], size: int = WINDOW):
         import ahocorasick
 
-        folded = [(item, folded_words(text or "")) for item, text in items]
-        known = dict.fromkeys(w for _, words in folded for w in words)
+        self.size, self.step = size, (size + 1) // 2
+        same: dict[tuple, list[int]] = {}
+        for item, text in items:
+            if words := tuple(folded_words(text or "")):
+                same.setdefault(words, []).append(item)
+        known = dict.fromkeys(w for words in same for w in words)
         base = int(len(known) ** 0.5) + 1
         self.code = {w: chr(HIGH + n // base) + chr(LOW + n % base) for n, w in enumerate(known)}
         self.automaton = ahocorasick.Automaton() if known else None
-        for item, words in folded:
-            codes = [self.code[w] for w in words]
-            value = (min(len(words), size), (item,))  # one object for all windows of the item
-            for w in map("".join, windows(codes, size)):
-                held = self.automaton.get(w, None)
+        self.texts: list[str] = []  # codes of each distinct item
+        self.ids: list[list[int]] = []
+        for words, ids in same.items():
+            coded, number = "".join([self.code[w] for w in words]), len(self.texts)
+            self.texts.append(coded)
+            self.ids.append(ids)
+            step = self.step if len(words) >= size else len(words)
+            for at in range(0, len(words) - step + 1, step):
+                part = coded[2 * at : 2 * (at + step)]
+                held = self.automaton.get(part, None)
                 if held is None:
-                    self.automaton.add_word(w, value)
-                elif item not in held[1]:
-                    self.automaton.add_word(w, (value[0], (*held[1], item)))
+                    self.automaton.add_word(part, [(number, at, step)])
+                else:
+                    held.append((number, at, step))
         if known:
             self.automaton.make_automaton()
 
+    def windows_around(self, coded: str, at: int, number: int, item_at: int, step: int) -> tuple[int, int] | None:
+        """First and last word of all windows of an item around a stretch of step words that is hit at word `at`, or None."""
+        item = self.texts[number]
+        if 2 * step == len(item):
+            return at, at + step - 1
+        a, b = 2 * at, 2 * item_at
+        most = 2 * (self.size - step)
+        left = 0
+        while left < most and b - left >= 2 and a - left >= 2 and coded[a - left - 2 : a - left] == item[b - left - 2 : b - left]:
+            left += 2
+        a, b, right = a + 2 * step, b + 2 * step, 0
+        while right < most and b + right < len(item) and coded[a + right : a + right + 2] == item[b + right : b + right + 2]:
+            right += 2
+        if left // 2 + step + right // 2 < self.size:
+            return None
+        return at - left // 2, at + step - 1 + right // 2
+
 
 _BUILT: dict[str, Patterns] = {}
 
@@ -90,14 +117,20 @@ def scan(text: str, patterns: Patterns) -> tuple[int, list[tuple[int, int]], lis
     if patterns.automaton is None or not words:
         return len(words), [], []
     code = patterns.code
-    ends = list(patterns.automaton.iter("".join([code.get(w, NO_WORD) for w in words])))
+    coded = "".join([code.get(w, NO_WORD) for w in words])
+    found, items = set(), set()
+    for end, held in patterns.automaton.iter(coded):
+        for number, item_at, step in held:
+            if span := patterns.windows_around(coded, (end + 1) // 2 - step, number, item_at, step):
+                found.add(span)
+                items.add(number)
     runs: list[list[int]] = []
-    for a, b in sorted((e // 2 - n + 1, e // 2) for e, (n, _) in ends):
+    for a, b in sorted(found):
         if runs and a <= runs[-1][1] + 1:
             runs[-1][1] = max(runs[-1][1], b)
         else:
             runs.append([a, b])
-    return len(words), [(a, b) for a, b in runs], sorted({i for _, (_, ids) in ends for i in ids})
+    return len(words), [(a, b) for a, b in runs], sorted({i for n in items for i in patterns.ids[n]})
 
 
 def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -112,34 +145,32 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(int(points[starts[a]]), int(points[stops[b]])) for a, b in runs]
 
 
-def item_groups(benchmark: DataFrame, item_id: str, text: str, max_bytes: int) -> list[list[tuple[int, str]]]:
-    """The items in groups of at most max_bytes of text each (an item larger than that is a group); read row by row, not all at once."""
+def item_groups(benchmark: DataFrame, item_id: str, text: str, max_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in groups of at most max_bytes of text each (an item larger than that is a group); read row by row, not all at once. At least one group."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null")
-    groups: list[list[tuple[int, str]]] = [[]]
+    group: list[tuple[int, str]] = []
     held = 0
     for i, t in items.toLocalIterator():
         size = len(t.encode())
-        if groups[-1] and held + size > max_bytes:
-            groups.append([])
-            held = 0
-        groups[-1].append((i, t))
+        if group and held + size > max_bytes:
+            yield group
+            group, held = [], 0
+        group.append((i, t))
         held += size
-    return groups
+    yield group
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_bytes: int = 2_000_000) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row per document: its number of words, hit runs of words, their spans in the original text, and the items found."""
     spark = docs.sparkSession
-    wanted = id_and_text(docs, doc_id, text)
-    found = []
     groups = item_groups(benchmark, item_id, item_text, max_bytes)
-    if len(groups) > 1:
-        wanted = wanted.withColumn("row", F.monotonically_increasing_id())
-        wanted = stash(wanted, "decontam-docs")
-    for group in groups:
+    first, second = next(groups), next(groups, None)
+
+    def searched(wanted: DataFrame, group: list[tuple[int, str]], numbered: bool):
         patterns = spark.sparkContext.broadcast(group)
+        name = uuid.uuid4().hex
 
-        def look(batches, patterns=patterns, name=uuid.uuid4().hex, numbered=len(groups) > 1):
+        def look(batches):
             import pyarrow as pa
 
             found = built(name, patterns.value)
@@ -161,12 +192,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
                     done += len(ids)
                     yield pa.RecordBatch.from_pydict(columns, schema=kind)
 
-        found.append(wanted.mapInArrow(look, HITS + (", row long" if len(groups) > 1 else "")))
-    if len(groups) == 1:
-        return found[0]
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
+        return wanted.mapInArrow(look, HITS + (", row long" if numbered else "")), patterns
+
+    wanted = id_and_text(docs, doc_id, text)
+    if second is None:
+        return searched(wanted, first, False)[0]
+    wanted = stash(wanted.withColumn("row", F.monotonically_increasing_id()), "decontam-docs")
+    every = None
+    for group in itertools.chain((first, second), groups):
+        found, patterns = searched(wanted, group, True)
+        found = stash(found, "decontam-hits")  # done with, so the group's broadcast can go
+        patterns.destroy()
+        every = found if every is None else every.unionByName(found)
     # One row per automaton and document. A run's words and its span of the text are merged together.
     runs = F.flatten(F.collect_list(F.zip_with("words", "spans", lambda w, s: F.struct(w["first"].alias("first"), w["last"].alias("last"), s["start"].alias("start"), s["stop"].alias("stop")))))
     merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sort_array(runs).alias("runs"), F.flatten(F.collect_list("items")).alias("found"))
@@ -190,14 +227,16 @@ def with_verdict(found: DataFrame) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bytes: int = 2_000_000) -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated. With one automaton no shuffle; with several, rows are found again by their place in a written table."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated. With one automaton no shuffle; with several, rows are found again by their place in a written table, in a column whose name docs does not have."""
     groups = item_groups(benchmark, "item_id", "text", max_bytes)
-    if len(groups) > 1:
-        named = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-docs")
-        bad = with_verdict(hits(named.select(F.col("__row").alias("doc_id"), F.col(text).alias("text")), benchmark, max_bytes=max_bytes)).where("contaminated").select(F.col("doc_id").alias("__row"))
-        return named.join(bad, "__row", "left_anti").select(*docs.columns)
-    patterns = docs.sparkSession.sparkContext.broadcast(groups[0])
+    first = next(groups)
+    if next(groups, None) is not None:
+        place = "_" * (1 + max(map(len, docs.columns)))
+        named = stash(docs.withColumn(place, F.monotonically_increasing_id()), "decontam-docs")
+        bad = with_verdict(hits(named.select(F.col(place).alias("doc_id"), F.col(text).alias("text")), benchmark, max_bytes=max_bytes)).where("contaminated").select(F.col("doc_id").alias(place))
+        return named.join(bad, place, "left_anti").select(*docs.columns)
+    patterns = docs.sparkSession.sparkContext.broadcast(first)
     name = uuid.uuid4().hex
     at = docs.columns.index(text)
 

@@ -1,15 +1,16 @@
 """License scans by conditional compression.
 
-The words around each cue word, as many on both sides as a statement with its added words can take, become a candidate
-block, whatever their lines; blocks that touch are one, long ones are divided with that overlap. In a block, every
-statement of every template is looked for by its words: it counts as found where at least 0.8 of its words stand in
-order, with at most as many other words between them as it has. Each match is compressed alone and with the license's
+A statement counts as found where at least 0.8 of its words stand in order, with at most as many other words between them
+as it has. It then holds one at least of any of its words that are one more than it may lack: its longest ones are its cues. The
+words around each cue in a text, as many on both sides as a statement with its added words can take, become a candidate
+block, whatever their lines, so no statement is outside all blocks; blocks that touch are one, long ones are divided with that overlap. In a block, every
+statement of every template that has enough of its words there is looked for by its words in order. Each match is compressed alone and with the license's
 template as a raw zstandard dictionary; the share by which that makes it smaller must be positive and is the order of equals.
 Of matches that overlap, the one with the most words matched less words missing and added wins.
 
 Defined cases: null and empty texts have no blocks; equal matches rank by reduction, then license id; every
 statement found gives a finding with its own span; repeated rows each get a row; a long
-text is searched whole, block by block; extra columns are ignored.
+text is searched whole, block by block; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,46 +50,28 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("Released under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     "Unlicense": ("Released under the Unlicense.", "This is free and unencumbered software released into the public domain."),
 }
-#: Lower-case words of which a candidate block holds at least one.
-CUES = ("licens", "licenc", "copyright", "hereby granted", "redistribution", "warrant", "public domain", "creative commons", "free software", "unencumbered", "waived all")
-
 FOUND = "doc_id long, n_blocks long, findings array<struct<license:string,start:int,stop:int,reduction:double,missing:int,added:int>>"
 _WORD = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
-_CUE = re.compile("|".join(CUES), re.IGNORECASE)
-#: Words that a statement takes at most: all of its own and as many added ones.
-REACH = 2 * max(len(_WORD.findall(s)) for v in TEMPLATES.values() for s in v)
 
 
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def has_cue(text: str) -> bool:
-    low = text.lower()
-    return any(c in low for c in CUES)
-
-
-def word_blocks(words: list[re.Match], text: str, reach: int = REACH, most: int = 4000) -> list[tuple[int, int]]:
+def word_blocks(words: list[str], cues: frozenset[str], reach: int, most: int = 4000) -> list[tuple[int, int]]:
     """Ranges of words, in order, that are candidate blocks; those of over `most` words are divided with an overlap of `reach`."""
-    starts = [w.start() for w in words]
     out: list[list[int]] = []
-    for cue in _CUE.finditer(text):
-        at = bisect_right(starts, cue.start())
-        a, b = max(0, at - 1 - reach), min(len(words), at + reach + len(cue.group().split()))
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
+    for at, w in enumerate(words):
+        if w in cues:
+            a, b = max(0, at - reach), min(len(words), at + reach + 1)
+            if out and a <= out[-1][1]:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
     step = max(1, most - reach)
     return [(k, min(b, k + most)) for a, b in out for k in range(a, max(a + 1, b - reach), step)]
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans of candidate blocks, in order."""
-    words = list(_WORD.finditer(text)) if has_cue(text) else []
-    return [(words[a].start(), words[b - 1].end()) for a, b in word_blocks(words, text) if a < b]
-
-
 class Scanner:
     """Templates as raw dictionaries and coded statements."""
 
@@ -98,12 +81,14 @@ class Scanner:
         raw = lambda d=None: z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
         self.alone = raw()
         self.with_template = {k: raw(z.ZstdCompressionDict("\n".join(v).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for k, v in sorted(templates.items())}
-        said = [(k, words_of(s)) for k, v in sorted(templates.items()) for s in v]
+        said = [(k, w) for k, v in sorted(templates.items()) for s in v if (w := words_of(s))]
         self.code = {w: i for i, w in enumerate(sorted({w for _, s in said for w in s}))}
-        self.statements = [(k, np.array([self.code[w] for w in s])) for k, s in said if s]
+        self.statements = [(k, np.array([self.code[w] for w in s])) for k, s in said]
         self.need = np.array([np.bincount(s, minlength=len(self.code)) for _, s in self.statements])
         self.may_miss = [int(len(s) * (1 - share) + 1e-9) for _, s in self.statements]
         self.reach = 2 * max(len(s) for _, s in self.statements)
+        # The longest words of each statement, one more than it may lack.
+        self.cues = frozenset(w for (_, s), k in zip(said, self.may_miss, strict=True) for w in sorted(s, key=lambda w: (-len(w), w))[: k + 1])
         self.memo: dict[tuple[str, str], float] = {}
 
     def reduction(self, k: str, span: str) -> float:
@@ -139,12 +124,21 @@ class Scanner:
 
     def look(self, text: str) -> tuple[int, list[dict]]:
         """The number of blocks and the findings, in order of their start."""
-        if not has_cue(text):
+        n, found = self.found(text)
+        return n, self.chosen(found, text) if found else []
+
+    def found(self, text: str) -> tuple[int, list[tuple]]:
+        """The number of blocks and all matches: (net words, license, first word, stop, span in characters, missing, added)."""
+        low = text.lower()
+        if not any(c in low for c in self.cues):
             return 0, []
         words = list(_WORD.finditer(text))
-        codes = np.array([self.code.get(w.group().lower(), -1) for w in words], np.int64)
-        spans = word_blocks(words, text, self.reach)
-        found = []
+        named = [w.group().lower() for w in words]
+        spans = word_blocks(named, self.cues, self.reach)
+        if not spans:
+            return 0, []
+        codes = np.array([self.code.get(w, -1) for w in named], np.int64)
+        out = []
         for a, b in spans:
             have = np.bincount(codes[a:b][codes[a:b] >= 0], minlength=len(self.code))
             enough = np.minimum(self.need, have).sum(1)
@@ -153,8 +147,8 @@ class Scanner:
                     continue
                 for start, stop, missing, added in self.matches(codes[a:b], s, may_miss):
                     begin, end = words[a + start].start(), words[a + stop - 1].end()
-                    found.append((len(s) - 2 * missing - added, k, a + start, a + stop, begin, end, missing, added))
-        return len(spans), self.chosen(found, text)
+                    out.append((len(s) - 2 * missing - added, k, a + start, a + stop, begin, end, missing, added))
+        return len(spans), out
 
     def chosen(self, found: list[tuple], text: str) -> list[dict]:
         """Of matches that overlap the best; what is left, in order."""

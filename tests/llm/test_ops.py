@@ -155,6 +155,48 @@ def test_every_license_of_a_list_is_found_with_its_own_span():
     assert all(text[f["start"] : f["stop"]] == x.rstrip(".") for f, x in zip(found, lines, strict=True))
 
 
+def test_matches_as_by_every_window_and_every_template():
+    """Texts with changed statements, and without: the best net of every statement over all windows of words, by their longest common subsequence."""
+    rng = np.random.default_rng(12)
+    scanner = license_scan.Scanner({k: license_scan.TEMPLATES[k] for k in ("MIT", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense", "GPL-3.0")})
+    every = [license_scan.words_of(x) for v in sorted(scanner.with_template) for x in license_scan.TEMPLATES[v] if len(license_scan.words_of(x)) < 16]
+    names = [v for v in sorted(scanner.with_template) for x in license_scan.TEMPLATES[v] if len(license_scan.words_of(x)) < 16]
+    pool = sorted({w for s in every for w in s}) + "some other words of a text that are no license".split()
+
+    def common(a, b):
+        line = [0] * (len(b) + 1)
+        for x in a:
+            old = line[:]
+            for j, y in enumerate(b, 1):
+                line[j] = old[j - 1] + 1 if x == y else max(old[j], line[j - 1])
+        return line[-1]
+
+    hits = 0
+    for _ in range(40):
+        text = []
+        for _ in range(3):
+            s = list(every[rng.integers(len(every))])
+            for _ in range(rng.integers(0, 4)):
+                at = int(rng.integers(len(s)))
+                s[at : at + int(rng.integers(0, 2))] = [pool[k] for k in rng.integers(0, len(pool), rng.integers(0, 3))]
+            text += [pool[k] for k in rng.integers(0, len(pool), rng.integers(0, 6))] + s
+        want: dict[str, int] = {}
+        for name, s in zip(names, every, strict=True):
+            n, may_miss = len(s), int(len(s) * 0.2 + 1e-9)
+            for a in range(len(text)):
+                for b in range(a + 1, min(len(text), a + 2 * n) + 1):
+                    same = common(s, text[a:b])
+                    if n - same <= may_miss and b - a - same <= n:
+                        want[name] = max(want.get(name, -99), n - 2 * (n - same) - (b - a - same))
+        got: dict[str, int] = {}
+        for net, k, _, _, begin, end, missing, added in scanner.found(" ".join(text))[1]:
+            if any(len(license_scan.words_of(x)) < 16 and net + 2 * missing + added == len(license_scan.words_of(x)) for x in license_scan.TEMPLATES[k]):
+                got[k] = max(got.get(k, -99), net)
+        assert got == want
+        hits += len(want)
+    assert hits > 60
+
+
 # -- 3 --------------------------------------------------------------------------------------------
 
 

@@ -110,6 +110,12 @@ def legacy_time(centis: Column) -> Column:
     return F.format_string("%d:%02d:%02d.%02d", F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long") % 60, s % 60, centis % 100)
 
 
+def legacy_lead(text: Column, wait: Column) -> Column:
+    """Style, margins and effects that stand before a legacy event's words; wait: centiseconds from its display to its first word."""
+    fade = F.greatest(F.lit(0).cast("long"), F.least(F.lit(300).cast("long"), wait * 10)).cast("string")
+    return F.concat(F.when(has_cjk(text), "CJK_Duet").otherwise("Lat_Duet"), F.lit(",,20,20,50,,{\\fad("), fade, F.lit(",200)}{\\an2}"))
+
+
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillfern.functions import phonetic as P
+from quillfern.functions import signal
 from quillfern.functions.text import strip_punctuation
 from quillfern.operators import grouped as G
+from quillfern.operators import seams
 from quillfern.plans import step_sql as Q
 from quillfern.plans.catalogue import query
 from quillfern.plans.q_series import activity, events, hourly
@@ -190,3 +192,49 @@ def resolve_boundaries(spark, sf_dir):
 
     e, masks = events(spark, sf_dir).where("user_id is not null"), activity(spark, sf_dir).select("user_id", "start", "stop")
     return e.groupBy("user_id").cogroup(masks.groupBy("user_id")).applyInPandas(fn, "user_id long, word int, start_s double, end_s double, score double")
+
+
+_MEL_SQL = Q.SPECTRUM.split("d as (")[0] + """pt as (select i, case when m < 15 then m * 200 / 3 else 1000 * pow(6.4, (m - 15) / 27) end as hz from (select i, i * (15 + 27 * ln(8.0) / ln(6.4)) / 9 as m from range(10) t(i))),
+w as (select a.i as band, b, greatest(0, least((b * 250.0 - a.hz) / (m.hz - a.hz), (z.hz - b * 250.0) / (z.hz - m.hz))) * 2 / (z.hz - a.hz) as w from pt a join pt m on m.i = a.i + 1 join pt z on z.i = a.i + 2, range(33) t(b))
+select vec_id, cast(band as integer) as band, round(sum(p * w), 6) as energy from f join w using (b) group by vec_id, band"""
+
+
+@query("mel_energy", _MEL_SQL)
+def mel_energy(spark, sf_dir):
+    """Vectors as frames of 64 samples at 16 kHz: power in eight mel bands."""
+
+    def each(batches):
+        filters = signal.mel_filters(16000, 64, 8)
+        for d in batches:
+            power = np.abs(np.fft.rfft(np.stack(d["embedding"]).astype(float) * signal.hann(64), axis=1)) ** 2
+            energy = np.round(power @ filters.T, 6)
+            yield pd.DataFrame({"vec_id": np.repeat(d["vec_id"].to_numpy(), 8), "band": np.tile(np.arange(8, dtype=np.int32), len(d)), "energy": energy.reshape(-1)})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(each, "vec_id long, band int, energy double")
+
+
+@query("pitch_classes", Q.SPECTRUM.split("d as (")[0] + """c as (select vec_id, cast(round(69 + 12 * log2(b * 250.0 / 440)) as bigint) % 12 as class, sum(p) as p from f where b > 0 group by 1, 2)
+select vec_id, cast(class as integer) as class, round(p / max(p) over (partition by vec_id), 6) as share from c""")
+def pitch_classes(spark, sf_dir):
+    """Vectors as frames of 64 samples at 16 kHz: power by pitch class, over the largest of a vector; classes that no bin is near to have no row."""
+
+    def each(batches):
+        classes = np.unique(np.round(69 + 12 * np.log2(np.arange(1, 33) * 250.0 / 440)).astype(int) % 12)
+        for d in batches:
+            power = np.abs(np.fft.rfft(np.stack(d["embedding"]).astype(float) * signal.hann(64), axis=1)) ** 2
+            share = np.round(signal.chroma(power.T, 16000, 64)[classes].T, 6)
+            yield pd.DataFrame({"vec_id": np.repeat(d["vec_id"].to_numpy(), len(classes)), "class": np.tile(classes.astype(np.int32), len(d)), "share": share.reshape(-1)})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(each, "vec_id long, class int, share double")
+
+
+@query("aligner_seam", r"""
+with w as (select conv_id * 1000 + turn as segment, turn * 10.0 as s, turn * 10.0 + 8 as e, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from conversations),
+i as (select *, unnest(range(0, len(ws))) as i from w)
+select segment, 'even' as aligner, cast(i as integer) as word_idx, ws[i + 1] as word, round(s + i * ((e - s) / len(ws)), 6) as start_s, round(s + (i + 1) * ((e - s) / len(ws)), 6) as end_s from i""")
+def aligner_seam(spark, sf_dir):
+    """A registered aligner on the turns of conversations, whose times are made up from their numbers."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    t = F.col("turn") * 10.0
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("segment"), t.alias("start"), (t + 8).alias("end"), words.alias("words"))
+    return seams.run(c, "aligner", "even").select("segment", "aligner", "word_idx", "word", F.round("start", 6).alias("start_s"), F.round("end", 6).alias("end_s"))

@@ -198,9 +198,10 @@ def ass_events(spark, sf_dir):
 
 @query("subtitle_legacy", _TIMES_SQL + r""",
 q as (select *, greatest(0, s - 80, coalesce(lag(e + 10) over (partition by conv_id order by turn), 0)) as ds, e + 10 as de from l),
-k as (select s.*, q.ds, q.de, s.s - coalesce(lag(s.e) over (partition by s.conv_id, s.turn order by s.i), q.ds) as gap from s join q using (conv_id, turn))
+k as (select s.*, q.ds, q.de, q.s as ls, q.text, s.s - coalesce(lag(s.e) over (partition by s.conv_id, s.turn order by s.i), q.ds) as gap from s join q using (conv_id, turn))
 select conv_id, turn, printf('%d:%02d:%02d.%02d', any_value(ds) // 360000, any_value(ds) // 6000 % 60, any_value(ds) // 100 % 60, any_value(ds) % 100) as shown, printf('%d:%02d:%02d.%02d', any_value(de) // 360000, any_value(de) // 6000 % 60, any_value(de) // 100 % 60, any_value(de) % 100) as hidden,
-  string_agg(case when gap > 1 then '{\kf' || gap || '} ' else '' end || '{\kf' || greatest(1, e - s) || '}' || word || ' ', '' order by i) || '{\kf10}' as body from k group by conv_id, turn""")
+  string_agg(case when gap > 1 then '{\kf' || gap || '} ' else '' end || '{\kf' || greatest(1, e - s) || '}' || word || ' ', '' order by i) || '{\kf10}' as body,
+  case when regexp_matches(any_value(text), '[一-鿿぀-ヿ가-힯]') then 'CJK_Duet' else 'Lat_Duet' end || ',,20,20,50,,{\fad(' || greatest(0, least(300, (any_value(ls) - any_value(ds)) * 10)) || ',200)}{\an2}' as lead from k group by conv_id, turn""")
 def subtitle_legacy(spark, sf_dir):
     conv = W.partitionBy("conv_id").orderBy("turn")
     zero = F.lit(0).cast("long")
@@ -212,7 +213,7 @@ def subtitle_legacy(spark, sf_dir):
         return F.concat(F.when(gap > 1, F.concat(F.lit("{\\kf"), gap, F.lit("} "))).otherwise(""), F.lit("{\\kf"), F.greatest(F.lit(1).cast("long"), x.e - x.s), F.lit("}"), x.word, F.lit(" "))
 
     body = F.concat(F.array_join(F.transform("w", token), ""), F.lit("{\\kf10}"))
-    return seg.select("conv_id", "turn", T.legacy_time(F.col("ds")).alias("shown"), T.legacy_time(F.col("de")).alias("hidden"), body.alias("body"))
+    return seg.select("conv_id", "turn", T.legacy_time(F.col("ds")).alias("shown"), T.legacy_time(F.col("de")).alias("hidden"), body.alias("body"), T.legacy_lead(F.col("text"), F.col("ls") - F.col("ds")).alias("lead"))
 
 
 @query("monotonic_clamp", """

@@ -6,7 +6,7 @@ task's memory. Files are written by Spark's own committer: lost tasks leave noth
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The two subtitle styles and the column lists of the format.
@@ -39,6 +39,53 @@ def write_subtitles(events: DataFrame, path: str, keys: list[str], order: list[s
     write_lines(headers.unionByName(body), path, keys, ["__part", *order], "__line")
 
 
+def legacy_events(lines: DataFrame) -> DataFrame:
+    """The event lines of the older format from (shown, hidden, lead, body); other columns stay."""
+    return lines.withColumn("event", F.concat(F.lit("Dialogue: 0,"), "shown", F.lit(","), "hidden", F.lit(","), "lead", "body")).drop("shown", "hidden", "lead", "body")
+
+
+def stem_name(stem: str, title: Column, shifts: int, overlap: float, segment: int) -> Column:
+    """The file name of a separated stem, which says how it was made."""
+    from quillfern.functions.text import safe_title
+
+    return F.concat(F.lit(f"[S:{shifts},O:{overlap},SZ:{segment}]_{stem}_"), safe_title(title), F.lit(".wav"))
+
+
+def encode_wav(samples, rate: int) -> bytes:
+    """A PCM file of 16 bits from (channel, sample) values in -1 to 1; what lies outside is cut off."""
+    import io
+    import wave
+
+    import numpy as np
+
+    x = np.clip(np.round(np.asarray(samples, float) * 32767), -32768, 32767).astype("<i2")
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(len(x))
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(x.T.tobytes())
+    return out.getvalue()
+
+
+def wav_files(chunks: DataFrame, name: str = "name") -> DataFrame:
+    """(name, content): a PCM file for each name, from chunks of samples (name, channel, rate, first, samples). A file's samples must fit a task, as they must for its reader."""
+    import numpy as np
+    import pandas as pd
+
+    def each(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(["channel", "first"], kind="stable")
+        rows = [np.concatenate(part["samples"].tolist()) for _, part in d.groupby("channel")]
+        return pd.DataFrame({"name": [key[0]], "content": [encode_wav(np.stack(rows), int(d["rate"].iloc[0]))]})
+
+    return chunks.select(F.col(name).alias("name"), "channel", "rate", "first", "samples").groupBy("name").applyInPandas(each, "name string, content binary")
+
+
+def write_wavs(chunks: DataFrame, path: str, name: str = "name") -> None:
+    """A table of PCM files (name, content) under path, written by Spark's own committer: one row a file."""
+    wav_files(chunks, name).write.mode("errorifexists").parquet(path)
+
+
 def write_sidecars(tracks: DataFrame, path: str, artist: str = "artist", title: str = "title", duration: str = "duration", filename: str = "filename", lyrics: str = "lyrics") -> None:
     """A Markdown file per artist and title in a safe spelling; of several records of one name each is written after the other."""
     from quillfern.functions.text import safe_title

@@ -91,10 +91,30 @@ def decode_wav(raw: bytes, start: float = 0.0, duration: float | None = None, ch
             at += len(data)
 
 
-def read_wav(spark: SparkSession, path: str | list[str], start: float = 0.0, duration: float | None = None, channels: int | None = None, chunk: int = 1 << 16) -> DataFrame:
+def _at_rate(found: Iterator[tuple[int, int, int, object]], rate: int | None, chunk: int) -> Iterator[tuple[int, int, int, object]]:
+    """Decoded chunks at the rate asked for."""
+    import numpy as np
+
+    from quillfern.functions.signal import resample
+
+    held: dict[int, list] = {}
+    for c, own, first, x in found:
+        if rate is None or own == rate:
+            yield c, own, first, x
+        else:
+            held.setdefault(c, []).append((own, first, x))
+    for c, parts in held.items():
+        own, first = parts[0][:2]
+        y = resample(np.concatenate([p[2] for p in parts]), own, rate).astype(np.float32)
+        for k in range(0, len(y), chunk):
+            yield c, rate, first * rate // own + k, y[k : k + chunk]
+
+
+def read_wav(spark: SparkSession, path: str | list[str], start: float = 0.0, duration: float | None = None, channels: int | None = None, chunk: int = 1 << 16, rate: int | None = None) -> DataFrame:
     """path, channel, rate, first (sample number) and samples of PCM files, in chunks; only the range of seconds asked for is decoded.
 
-    The rate stays the file's own. A file that is not PCM raises.
+    rate: the samples' rate; the file's own if none is given. At another rate, the range is resampled as a whole and first counts its samples.
+    A file that is not PCM raises.
     """
 
     def each(batches):
@@ -102,9 +122,9 @@ def read_wav(spark: SparkSession, path: str | list[str], start: float = 0.0, dur
 
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for c, rate, first, x in decode_wav(raw.as_py(), start, duration, channels, chunk):
+                for c, own, first, x in _at_rate(decode_wav(raw.as_py(), start, duration, channels, chunk), rate, chunk):
                     values = pa.array([x], pa.list_(pa.float32()))
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([c], pa.int32()), pa.array([rate], pa.int32()), pa.array([first], pa.int64()), values], ["path", "channel", "rate", "first", "samples"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([c], pa.int32()), pa.array([own], pa.int32()), pa.array([first], pa.int64()), values], ["path", "channel", "rate", "first", "samples"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(each, AUDIO)

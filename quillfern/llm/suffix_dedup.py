@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -38,6 +39,8 @@ from pyspark.sql import Window as W
 from quillfern.llm.common import id_and_text, stash
 
 GRAM = 32
+#: Anchors are chosen in stretches of about so many bytes, which stay in a core's cache.
+STRETCH = 1 << 18
 #: A shard's suffixes are numbered in 21 bits, so that two ranks and a number are one 64-bit word to sort.
 BITS = 21
 LARGEST = (1 << BITS) - 2
@@ -221,37 +224,40 @@ def search_strings(needles: np.ndarray, data: np.ndarray, starts: np.ndarray, le
     return low, found
 
 
-def repeated_starts(pieces: list[tuple[bytes, np.ndarray]], length: int, shard_bytes: int) -> list[np.ndarray]:
-    """pieces: (bytes, places in them where strings of length bytes start), in order of age. For each, which of its strings also start earlier."""
-    sizes = np.array([len(p[0]) for p in pieces], np.int64)
-    offset = np.concatenate(([0], np.cumsum(sizes)))
-    data = np.frombuffer(b"".join(p[0] for p in pieces) + bytes(length + 16), np.uint8)
-    flags: list[np.ndarray] = []
+def repeated_runs(pieces: list[bytes], length: int, shard_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """pieces: bytes in order of age, each at least length long. (piece, first start, last start) of the runs of strings of length bytes that also start earlier, in the same piece or an older one."""
+    offset = np.cumsum([0, *map(len, pieces)])
+    total = int(offset[-1])
+    data = np.frombuffer(b"".join(pieces) + bytes(length + 16), np.uint8)
+    tail = np.zeros(total + 1, np.int8)  # strings don't run over the end of a piece
+    tail[offset[1:] - length + 1] = 1
+    tail[offset[1:]] -= 1
+    starts = np.cumsum(tail[:-1], dtype=np.int8) == 0
+    repeated = starts.copy()
     merged = np.zeros(0, np.int64)  # places of the distinct strings so far, sorted by string
     k = 0
     while k < len(pieces):
-        e = k + 1
-        while e < len(pieces) and offset[e + 1] - offset[k] <= shard_bytes:
-            e += 1
-        shard = data[offset[k] : offset[e] + length]
-        repeated = np.zeros(len(shard), bool)
-        repeated[np.concatenate([pieces[x][1] + (offset[x] - offset[k]) for x in range(k, e)])] = True
+        e = max(k + 1, int(np.searchsorted(offset, offset[k] + shard_bytes, "right")) - 1)
+        a, b = int(offset[k]), int(offset[e])
+        shard = data[a : b + length]
         order = suffix_array(shard, length)
         group = np.cumsum(common_prefixes(shard, order, length) < length)
-        listed = repeated[order]
+        listed = np.concatenate((starts[a:b], np.zeros(length, bool)))[order]
         order, group = order[listed], group[listed]
         # Equal strings stand in order of their place, so the first of a group is the oldest; it stays.
-        own = order[np.concatenate(([True], group[1:] != group[:-1]))]
+        own = order[np.concatenate(([True], group[1:] != group[:-1]))] + a
         repeated[own] = False
         if len(merged):
-            low, found = search_strings(own + offset[k], data, merged, length)
+            low, found = search_strings(own, data, merged, length)
             repeated[own[found]] = True
-            merged = np.insert(merged, low[~found], own[~found] + offset[k])
+            merged = np.insert(merged, low[~found], own[~found])
         else:
-            merged = own + offset[k]
-        flags += [repeated[pieces[x][1] + (offset[x] - offset[k])] for x in range(k, e)]
+            merged = own
         k = e
-    return flags
+    edge = np.diff(np.concatenate(([0], repeated.view(np.int8), [0])))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    piece = np.searchsorted(offset, first, "right") - 1
+    return piece, first - offset[piece], last - offset[piece]
 
 
 def cut_pieces(first: int, last: int, length: int, shard_bytes: int) -> list[tuple[int, int]]:
@@ -260,12 +266,6 @@ def cut_pieces(first: int, last: int, length: int, shard_bytes: int) -> list[tup
     return [(a, min(last, a + step - 1)) for a in range(first, last + 1, step)]
 
 
-def runs_of(flagged: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs [a, b) of True."""
-    edge = np.diff(np.concatenate(([0], flagged.view(np.int8), [0])))
-    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
-
-
 def merged_runs(rid: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of starts [a, b], per row id: those that touch or overlap become one."""
     if not len(rid):
@@ -342,8 +342,8 @@ class _Batch:
             out.append((np.array([d for d, _, _ in held], np.int64)[which], h, first + shift, last + shift))
 
         for d, (_, data) in enumerate(self.docs):
-            for a, b in cut_pieces(0, len(data) - self.length, self.length, self.shard_bytes):
-                if held and size + b + self.length - a > self.shard_bytes:
+            for a, b in cut_pieces(0, len(data) - self.length, self.length, STRETCH):
+                if held and size + b + self.length - a > STRETCH:
                     look()
                     held, size = [], 0
                 held.append((d, a, b + self.length))
@@ -366,14 +366,10 @@ class _Batch:
         if len(again):
             d, a, b = merged_runs(doc[again], first[again], last[again])
             cut = [(int(x), *p) for x, y, z in zip(d, a, b, strict=True) for p in cut_pieces(int(y), int(z), length, self.shard_bytes)]
-            found = repeated_starts([(self.docs[x][1][y : z + length], np.arange(z - y + 1)) for x, y, z in cut], length, self.shard_bytes)
-            flagged: dict[int, list] = {}
-            for (x, y, _), f in zip(cut, found, strict=True):
-                flagged.setdefault(x, []).extend((y + s, y + e - 1) for s, e in runs_of(f))
-            ranges = [(x, s, e) for x, runs in flagged.items() for s, e in runs]
-            if ranges:
-                d, a, b = (np.array(c, np.int64) for c in zip(*ranges, strict=True))
-                d, a, b = merged_runs(d, a, b)
+            piece, a, b = repeated_runs([self.docs[x][1][y : z + length] for x, y, z in cut], length, self.shard_bytes)
+            if len(piece):
+                of, base = (np.array(c, np.int64) for c in list(zip(*cut, strict=True))[:2])
+                d, a, b = merged_runs(of[piece], a + base[piece], b + base[piece])
                 yield from _flags(rid[d], a, b)
                 # A context is done with if one run of flagged starts holds all of its own.
                 wide = int(max(last.max(), b.max())) + 2
@@ -387,7 +383,7 @@ class _Batch:
         yield _frame(h.view(np.int64), marks["c"], marks["e"], rid[doc], pack_range(first, last), np.zeros(len(h)))
 
 
-def _find(length: int, shard_bytes: int, most: int = 24_000_000):
+def _find(length: int, shard_bytes: int, most: int = 6_000_000):
     """Texts -> flags of what repeats within about most bytes of them, and the contexts that go on."""
 
     def each(batches):
@@ -433,27 +429,37 @@ def _cut(length: int, each_start: bool):
 
 
 def _resolve(length: int, shard_bytes: int, group_bytes: int):
-    """Contexts sorted by (h, rid, at) -> flags of the starts whose string is older elsewhere. Whole anchors are gathered up to group_bytes; repeated_starts divides what is more than shard_bytes."""
-
-    def flags(rows):
-        rows.sort(key=lambda x: (x[1], x[2]))
-        ranges = [unpack_range(np.int64(x[2])) for x in rows]
-        got = repeated_starts([(x[3], np.arange(int(b - a) + 1)) for x, (a, b) in zip(rows, ranges, strict=True)], length, shard_bytes)
-        runs = [(x[1], int(a) + s, int(a) + e - 1) for x, (a, _), f in zip(rows, ranges, got, strict=True) if f.any() for s, e in runs_of(f)]
-        if runs:
-            yield from _flags(*(np.array(c, np.int64) for c in zip(*runs, strict=True)))
+    """Contexts sorted by (h, rid, at) -> flags of the starts whose string is older elsewhere. Whole anchors are gathered up to group_bytes; repeated_runs divides what is more than shard_bytes."""
+
+    def flags(parts):
+        rid, at = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in ("rid", "at"))
+        pieces = [x for p in parts for x in p.column("bytes").to_pylist()]
+        order = np.lexsort((at, rid))
+        piece, a, b = repeated_runs([pieces[k] for k in order.tolist()], length, shard_bytes)
+        if len(piece):
+            which = order[piece]
+            base = unpack_range(at[which])[0]
+            yield from _flags(rid[which], base + a, base + b)
 
     def each(batches):
-        rows, size = [], 0
+        parts, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("h", "rid", "at", "bytes")), strict=True):
-                if rows and row[0] != rows[-1][0] and size >= group_bytes:
-                    yield from flags(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[3])
-        if rows:
-            yield from flags(rows)
+            h = batch.column("h").to_numpy()
+            ends = np.concatenate((np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)])) if len(h) else np.zeros(0, np.int64)
+            bytes_to = np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy())
+            done = 0
+            if parts and len(h) and size >= group_bytes and parts[-1].column("h")[-1].as_py() != h[0]:
+                yield from flags(parts)
+                parts, size = [], 0
+            for k in ends.tolist():  # where an anchor ends
+                if k < len(h) and size + bytes_to[k - 1] - (bytes_to[done - 1] if done else 0) >= group_bytes:
+                    yield from flags([*parts, batch.slice(done, k - done)])
+                    parts, size, done = [], 0, k
+            if done < len(h):
+                parts.append(batch.slice(done))
+                size += int(bytes_to[-1] - (bytes_to[done - 1] if done else 0))
+        if parts:
+            yield from flags(parts)
 
     return each
 
@@ -513,7 +519,7 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 2_000_000, group_bytes: int = 4_000_000, batch_bytes: int = 24_000_000, hot_contexts: int = 2048
+    docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 2_000_000, group_bytes: int = 4_000_000, batch_bytes: int = 6_000_000, hot_contexts: int = 2048
 ) -> DataFrame:
     """One row per document: its bytes, removed bytes and spans, and the SHA-256 of what is kept. length must be over GRAM; a shard must hold several strings and at most LARGEST bytes with its padding."""
     if not (GRAM < length and 2 * length < shard_bytes <= LARGEST - length):

@@ -116,7 +116,9 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         .otherwise(F.concat_ws("-", F.substring("h", 1, 8), F.substring("h", 9, 4), F.substring("h", 13, 4), F.substring("h", 17, 4), F.substring("h", 21, 12)))
     )
     plain = F.when(k.isin(13, 20, 21), F.concat(word, name, sign, quote)).when(k.isin(8, 9, 10, 15), F.concat(word, pick(HARMLESS_WORDS, r), pick((" ", ": ", "="), F.col("id")), quote)).otherwise(word)
-    path = F.concat(pick(("src", "docs/", "app/", "tests/", "lib/"), F.col("id") + k), r.cast("string"))
+    # Placeholders stand in tests, samples and documentation more often than elsewhere, real keys less often.
+    quiet, usual = ("tests/", "docs/", "samples/", "fixtures/", "src/"), ("src/", "app/", "lib/", "config/", "tests/")
+    path = F.concat(F.when(k.isin(13, 20), pick(quiet, F.xxhash64("id", F.lit(4)))).otherwise(pick(usual, F.xxhash64("id", F.lit(4)))), r.cast("string"))
     bare = k.isin(6, 7, 18) & (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3)) > 0)  # prefixed keys stand without a naming word, too
     before = F.when(bare, F.concat(word, pick(("aws_key = ", "key: ", "", "id "), r), quote)).when(secret, F.concat(word, name, sign, quote)).otherwise(plain)
     after = F.concat(F.when(secret | k.isin(8, 9, 10, 13, 15, 20, 21), quote).otherwise(""), F.lit(" "), word)

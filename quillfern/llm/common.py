@@ -59,6 +59,11 @@ def drop_stash(*dfs: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)  # noqa: SLF001
 
 
+def free_name(df: DataFrame, label: str) -> str:
+    """A column name that df does not have, in any case."""
+    return "_" * (1 + max([0, *map(len, df.columns)])) + label
+
+
 def text_slices(batches, max_bytes: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts (null: '') of (id, text) Arrow batches, in slices of about max_bytes or one text."""
     for batch in batches:

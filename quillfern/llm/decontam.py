@@ -15,7 +15,7 @@ a worker one automaton, and their hits are merged per document.
 
 Defined cases: null or empty texts have no words and are never contaminated; null items and items
 without words are ignored; items of the same text all count; repeated rows each get a row; an empty
-benchmark hits nothing. Extra columns are ignored, whatever their names.
+benchmark hits nothing, an empty table gives an empty result. Extra columns are ignored by hits() and kept by keep_clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfern.llm.common import id_and_text, stash, text_slices
+from quillfern.llm.common import free_name, id_and_text, stash, text_slices
 
 WINDOW = 13
 #: Bytes of item text that one automaton holds.
@@ -232,7 +232,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     groups = item_groups(benchmark, "item_id", "text", max_bytes)
     first = next(groups)
     if next(groups, None) is not None:
-        place = "_" * (1 + max(map(len, docs.columns)))
+        place = free_name(docs, "row")
         named = stash(docs.withColumn(place, F.monotonically_increasing_id()), "decontam-docs")
         bad = with_verdict(hits(named.select(F.col(place).alias("doc_id"), F.col(text).alias("text")), benchmark, max_bytes=max_bytes)).where("contaminated").select(F.col("doc_id").alias(place))
         return named.join(bad, place, "left_anti").select(*docs.columns)

@@ -19,7 +19,7 @@ sample, character), so a row's samples depend on nothing else.
 
 Defined cases: null and empty texts have one segmentation, the empty one; a text with fewer than k
 segmentations gives all of them; equal texts under different keys give different samples, equal keys and texts
-equal ones; a null key counts as zero; U+2581 in a text decodes as a blank. Extra columns are ignored.
+equal ones; a null key counts as zero; U+2581 in a text decodes as a blank; an empty table gives an empty result. Extra columns are ignored, and kept by decode_rows().
 """
 
 from __future__ import annotations
@@ -566,3 +566,20 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(m.encode(texts, num_threads=1), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return id_and_text(docs, doc_id, text).mapInArrow(each, "doc_id long, ids array<int>")
+
+
+def decode_rows(encoded: DataFrame, ids: str = "ids", text: str = "text", model: str = MODEL_PATH) -> DataFrame:
+    """encoded with its column ids (arrays of piece ids) replaced by the text that they spell; null stays null."""
+    at = encoded.columns.index(ids)
+    schema = ", ".join(f"`{text if k == at else f.name}` {'string' if k == at else f.dataType.simpleString()}" for k, f in enumerate(encoded.schema.fields))
+
+    def each(batches):
+        import pyarrow as pa
+
+        pieces = worker_lattice(model, 1.0).pieces
+        for batch in batches:
+            texts = [None if i is None else decode(i, pieces) for i in batch.column(at).to_pylist()]
+            columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, [text if k == at else n for k, n in enumerate(batch.schema.names)])
+
+    return encoded.mapInArrow(each, schema)

@@ -12,7 +12,7 @@ sample and runs AdaGrad over seeded mini batches. Scoring reads every text in fu
 
 Defined cases: null and empty texts get a score from their statistics alone; rows with a null label
 or id are not trained on; several labels of one id count as their minimum; without labels of both classes
-the score is the share of label 1 (0.5 without any); repeated rows each get a row; extra columns are ignored.
+the score is the share of label 1 (0.5 without any); repeated rows each get a row; an empty table gives an empty result; extra columns are ignored, and kept by keep_good().
 """
 
 from __future__ import annotations

@@ -9,8 +9,8 @@ gives the share of votes for a secret; its trees become one SQL expression, eval
 row. So a scan is one pass over the texts without shuffle, join or limit on candidates.
 
 Defined cases: null and empty texts have no candidates; ties at the threshold count as secrets; equal
-rows get equal results; labelled findings of one class alone make the forest constant. Extra columns
-are kept by redact() and ignored by scan().
+rows get equal results; labelled findings of one class alone make the forest constant; an empty table gives an
+empty result. Extra columns are kept by redact(), whatever their names, and ignored by scan().
 """
 
 from __future__ import annotations
@@ -217,7 +217,10 @@ def scan(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", pat
 def redact(docs: DataFrame, model, text: str = "text", path: str | None = "source", threshold: float = 0.5, length: str | None = "n_chars") -> DataFrame:
     """docs with every secret of the text column masked; a text without secrets, or null, stays as it is. length: a column that holds the text's length, renewed where the text changes."""
     where = F.col(path) if path else F.lit("")
-    df = _found(docs, F.col(text), where, model, threshold)
-    df = df.withColumn("__hit", F.exists("__marks", lambda m: m.secret)).withColumn("__new", F.when(F.col("__hit"), _redacted()).otherwise(F.col(text)))
-    new = {text: F.col("__new")} | ({length: F.when(F.col("__hit"), F.length("__new")).otherwise(F.col(length)).cast(docs.schema[length].dataType)} if length in docs.columns else {})
-    return df.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    # The row travels as one column, so that none of its own can clash with those made here.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("t"), where.alias("p"))
+    df = _found(rows, F.col("t"), F.col("p"), model, threshold)
+    df = df.withColumn("__hit", F.exists("__marks", lambda m: m.secret)).withColumn("__new", F.when(F.col("__hit"), _redacted()).otherwise(F.col("t")))
+    own = lambda c: F.col("row").getField(c)
+    new = {text: F.col("__new")} | ({length: F.when(F.col("__hit"), F.length("__new")).otherwise(own(length)).cast(docs.schema[length].dataType)} if length in docs.columns else {})
+    return df.select(*(new.get(c, own(c)).alias(c) for c in docs.columns))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillfern.llm.common import drop_stash, id_and_text, stash, text_slices
+from quillfern.llm.common import drop_stash, free_name, id_and_text, stash, text_slices
 from quillfern.llm.components import connected_components
 from quillfern.llm.shingle_links import near_copies
 
@@ -220,13 +220,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose id is the smallest of its component: one document of each group. Rows without an id stay; of repeated ids the row with the smallest SHA-256 of its text stays.
+    """The rows of docs, all columns, whose id is the smallest of its component: one document of each group. Rows without an id stay; of repeated ids the row with the smallest SHA-256 of its text stays. An empty table stays empty; extra columns stay, whatever their names.
 
     Groups here are those of five-word shingles at Jaccard similarity 0.8 or more (shingle_links), not of op3's fingerprints: pairs at
     that similarity differ in up to some 17 of 64 bits, and a search of that radius divides nothing.
     """
-    kept = near_copies(docs, doc_id, text).select(F.col("component_id").alias("__id")).distinct()
-    out = docs.join(kept, F.col(doc_id) == F.col("__id"), "left_semi")
-    if not docs.groupBy(doc_id).count().where(F.col("count") > 1).where(F.col(doc_id).isNotNull()).isEmpty():
-        out = out.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).withColumn("__n", F.row_number().over(W.partitionBy(doc_id).orderBy("__sha"))).where("__n = 1").select(*docs.columns)
+    id_, sha, n = (free_name(docs, x) for x in ("id", "sha", "n"))
+    kept = near_copies(docs, doc_id, text).select(F.col("component_id").alias(id_)).distinct()
+    out = docs.join(kept, F.col(doc_id) == F.col(id_), "left_semi")
+    if not docs.groupBy(F.col(doc_id).alias("i")).agg(F.count(F.lit(1)).alias("c")).where("c > 1 and i is not null").isEmpty():
+        out = out.withColumn(sha, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).withColumn(n, F.row_number().over(W.partitionBy(doc_id).orderBy(sha))).where(F.col(n) == 1).select(*docs.columns)
     return out.unionByName(docs.where(F.col(doc_id).isNull()))

@@ -122,10 +122,13 @@ def suffix_array(data: np.ndarray, length: int) -> np.ndarray:
     width = max(1, int(used.sum() - 1).bit_length())
     depth = min(length, (64 - BITS) // width)
     wide = np.concatenate((code[data], np.zeros(depth, u)))
-    key = wide[:n].copy()
+    packed = wide[:n].copy()
     for k in range(1, depth):
-        key = (key << u(width)) | wide[k : k + n]
-    packed = (key << bits) | np.arange(n, dtype=u)
+        packed <<= u(width)
+        packed |= wide[k : k + n]
+    del wide
+    packed <<= bits
+    packed |= np.arange(n, dtype=u)
     packed.sort()
     order = (packed & mask).astype(np.int64)
     packed >>= bits
@@ -519,7 +522,7 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 2_000_000, group_bytes: int = 4_000_000, batch_bytes: int = 6_000_000, hot_contexts: int = 2048
+    docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 1_000_000, group_bytes: int = 2_000_000, batch_bytes: int = 6_000_000, hot_contexts: int = 2048
 ) -> DataFrame:
     """One row per document: its bytes, removed bytes and spans, and the SHA-256 of what is kept. length must be over GRAM; a shard must hold several strings and at most LARGEST bytes with its padding."""
     if not (GRAM < length and 2 * length < shard_bytes <= LARGEST - length):

@@ -454,7 +454,11 @@ def test_sampling_odd_tables(spark, odd, nothing):
     rows = piece_sampling.sample_digests(odd).collect()
     assert len(rows) == odd.count() and all(r.round_trip for r in rows)
     assert piece_sampling.sample_segmentations(nothing).count() == 0
-    assert piece_sampling.encode(odd).count() == odd.count()
+    coded = piece_sampling.encode(odd)
+    assert coded.count() == odd.count()
+    back = piece_sampling.decode_rows(coded.withColumn("kept", F.lit("clash"))).collect()
+    plain = lambda t: re.sub(" +", " ", (t or "").strip(" "))
+    assert all(r.kept == "clash" for r in back) and {(r.doc_id, plain(r.text)) for r in back if r.doc_id in (1, 2, 4, 6, 8)} == {(r.doc_id, plain(r.text)) for r in odd.collect() if r.doc_id in (1, 2, 4, 6, 8)}
 
 
 # -- 7 --------------------------------------------------------------------------------------------
@@ -760,6 +764,26 @@ def test_pipeline_stages(spark, sf_dir, docs, texts):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(r.doc_id for r in seen["tokenize"])
 
 
+def test_pipeline_stages_of_odd_and_empty_tables(spark, sf_dir, odd, nothing):
+    """Each stage on nulls, blanks, very long and repeated texts, and on nothing; other columns than those of documents go."""
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf_dir)
+        counts[name] = out.count()
+        assert name == "tokenize" or tuple(out.columns) == DOCUMENT_COLUMNS
+        assert stage(spark, nothing, sf_dir).count() == 0
+    assert 0 < counts["quality"] <= odd.count() and counts["near_dedup"] == 6  # 1 for its copies, 3 for those without words, 6, 7, 8 and the null id
+    assert counts["decontaminate"] == counts["secrets"] == counts["tokenize"] == odd.count()
+
+
+def test_stages_keep_columns_of_clashing_names(spark, sf_dir, forest, odd):
+    clashing = odd.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(c).alias(c) for c in ("__text", "__path", "__id", "__sha", "__n", "__row", "row", "t", "p", "i")))
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    for out in (secret_scan.redact(clashing, forest), simhash.keep_one(clashing), decontam.keep_clean(clashing, bench), decontam.keep_clean(clashing, bench, max_bytes=500)):
+        rows = out.collect()
+        assert out.columns == clashing.columns and rows and all(r[c] == c for r in rows for c in clashing.columns[5:])
+
+
 def test_automaton_matches_brute_force_on_few_words():
     import random
 

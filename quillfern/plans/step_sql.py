@@ -197,5 +197,5 @@ r as (select user_id, cast(0 as bigint) as k, cast(null as double) as got, cast(
             select * exclude (s, e), coalesce(g0, case when s is not null then {_TWO_START} end) as f0, coalesce(g1, case when s is not null then se end) as f1 from (
               select *, {_TWO_END} as se from (
                 select * exclude (e0), greatest(s, e0) as e from (
-                  select o3.*, r.end_, greatest(b0, coalesce(r.got, b0)) as s, least(b1, later) as e0 from r join o3 on o3.user_id = r.user_id and o3.k = r.k + 1)))))))))
+                  select o3.*, r.end_, case when b0 is not null then greatest(b0, coalesce(r.got, b0)) end as s, case when b0 is not null then least(b1, later) end as e0 from r join o3 on o3.user_id = r.user_id and o3.k = r.k + 1)))))))))
 select user_id, cast(k - 1 as integer) as word, round(start_, 3) as start_s, round(end_, 3) as end_s, round(score, 6) as score from r where k > 0""")

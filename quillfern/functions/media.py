@@ -64,17 +64,27 @@ def convert_channels(channels: Column, n: int) -> Column:
     return F.when(size == n, channels).when(F.lit(n) == 1, F.array(mean)).when(size == 1, copies).when(size > n, F.slice(channels, 1, n)).otherwise(wrong)
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is computed once a row; a column named inside a lambda is computed once an element if the optimiser puts its expression there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_spans(words: Column, spans: Column, ratio: int, rate: int) -> Column:
     """An array of (word_idx, start_s, end_s, score) from the spans (start, end, score) of a line's characters: first start, last end, mean score.
 
-    ratio: samples a frame. A word without a character of its own has no entry.
+    ratio: samples a frame. A word without a character of its own has no entry. The work grows with the characters.
     """
-    offsets = F.transform(words, lambda _, i: F.aggregate(F.slice(words, 1, i), F.lit(0), lambda a, x: a + F.length(x)))
-    own = F.transform(words, lambda w, i: F.struct(i.alias("i"), F.slice(spans, F.get(offsets, i) + 1, F.length(w)).alias("s")))
-    some = F.filter(own, lambda x: F.size(x.s) > 0)
     second = lambda frame: (frame * ratio).cast("long") / F.lit(float(rate))
     mean = lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + x.score) / F.size(s)
-    return F.transform(some, lambda x: F.struct(x.i.alias("word_idx"), second(F.get(x.s, F.lit(0)).start).alias("start_s"), second(F.element_at(x.s, -1).end).alias("end_s"), mean(x.s).alias("score")))
+
+    def spanned(words, spans, owner):
+        first = F.filter(F.transform(owner, lambda i, at: F.struct(i.alias("i"), at.alias("at"))), lambda x: (x.at == 0) | (F.get(owner, x.at - 1) != x.i))
+        own = F.transform(first, lambda x: F.struct(x.i.alias("i"), F.slice(spans, x.at + 1, F.length(F.get(words, x.i))).alias("s")))
+        some = F.filter(own, lambda x: F.size(x.s) > 0)
+        return F.transform(some, lambda x: F.struct(x.i.alias("word_idx"), second(F.get(x.s, F.lit(0)).start).alias("start_s"), second(F.element_at(x.s, -1).end).alias("end_s"), mean(x.s).alias("score")))
+
+    owners = lambda ws: F.flatten(F.transform(ws, lambda w, i: F.array_repeat(i, F.coalesce(F.length(w), F.lit(0)))))
+    return let(words, lambda ws: let(spans, lambda ss: let(owners(ws), lambda o: spanned(ws, ss, o))))
 
 
 def separated_letters(words: Column, separator: str = "*") -> Column:

@@ -169,3 +169,30 @@ def test_session_stream(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("sess").columns == ["user_id", "start_us", "end_us", "n"]
+
+
+def test_word_spans_of_long_lines(spark):
+    """A line of 3,000 words within a minute, and words that are null, empty or beyond the spans."""
+    import threading
+
+    from quillfern.functions import media as M
+
+    long = [f"w{k}" * (1 + k % 3) for k in range(3000)]
+    lines = [(1, long, len("".join(long))), (2, ["ab", None, "", "cde", "f"], 5), (3, [], 0), (4, None, 2), (5, ["", ""], 0)]
+    df = spark.createDataFrame([(i, w, [(2 * k, 2 * k + 1, 1.0 / (1 + k % 7)) for k in range(n)]) for i, w, n in lines], "i int, words array<string>, spans array<struct<start:int,end:int,score:double>>")
+    spark.sparkContext.setJobGroup("word_spans", "word_spans", True)
+    stop = threading.Timer(60, lambda: spark.sparkContext.cancelJobGroup("word_spans"))
+    stop.start()
+    try:
+        got = {r.i: r.s for r in df.select("i", M.word_spans(F.col("words"), F.col("spans"), 320, 16000).alias("s")).collect()}
+    finally:
+        stop.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for i, words, n in lines:
+        want, a = [], 0
+        for k, w in enumerate(words or []):
+            own = range(a, min(n, a + len(w or "")))
+            a += len(w or "")
+            if own:
+                want.append((k, 640 * own[0] / 16000, 320 * (2 * own[-1] + 1) / 16000, pytest.approx(sum(1.0 / (1 + c % 7) for c in own) / len(own))))
+        assert (got[i] is None and words is None) or [tuple(x) for x in got[i]] == want

@@ -96,3 +96,22 @@ def nearest_of_many(left: DataFrame, right: DataFrame, keys: list[str], left_at:
     rank = lambda c: F.struct(F.abs(F.col(f"{c}.t") - F.col("__t")).alias("d"), F.col(f"{c}.s").alias("s"), F.col(f"{c}.t").alias("t"))
     found = F.array_min(F.filter(F.array(*(F.when(F.col(c).isNotNull(), rank(c)) for c in ("__b", "__a"))), lambda x: x.isNotNull() & (x.d < reach)))
     return both.withColumn("__w", found).where("__w is not null").select(*cols, F.col("__w.t").alias(right_at), F.col("__w.s").alias(source))
+
+
+def pairs_within(rows: DataFrame, keys: list[str], value: str, name: str, right=None, block: int = 2048, task_pairs: int = 20_000_000) -> DataFrame:
+    """(value, name) of every pair of rows with equal keys and different values; right: condition on the second row of a pair. Rows with a null among keys and value have no pairs.
+
+    A group is dealt in lists of about `block` values, pairs of lists go evenly to tasks of about `task_pairs` pairs, and only there become pairs of
+    values. So what is shuffled stays small beside the result, and a group's pairs are the work of many tasks.
+    """
+    right = F.lit(True) if right is None else right
+    rows = rows.select(*keys, F.col(value), right.alias("__right")).dropna(subset=[*keys, value])
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.count_if("__right").alias("__m"))
+    total = sizes.agg(F.sum(F.col("__n").cast("double") * F.col("__m"))).first()[0] or 0
+    dealt = rows.join(sizes, keys).withColumn("__block", F.pmod(F.xxhash64(value), F.ceil(F.col("__n") / block)))
+    lists = dealt.groupBy(*keys, "__block").agg(F.collect_list(value).alias("__left"), F.collect_list(F.when(F.col("__right"), F.col(value))).alias("__others"))
+    both = lists.select(*keys, "__left").join(lists.where(F.size("__others") > 0).select(*keys, "__others"), keys)
+    tasks = max(1, round(total / task_pairs))
+    # Generated code holds all rows that one row becomes; coalesce() ends it between the lists, so that is one value's pairs and not two lists'.
+    both = both.select("__left", "__others").repartition(tasks).select(F.explode("__left").alias(value), "__others").coalesce(tasks)
+    return both.select(value, F.explode("__others").alias(name)).where(F.col(value) != F.col(name))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillfern.functions import text as T
+from quillfern.operators import intervals as I
 from quillfern.plans.catalogue import query
 from quillfern.sources.tables import table
 
@@ -164,9 +165,9 @@ def exact_lookup(spark, sf_dir):
 
 @query("candidate_search", "select a.p_partkey, b.p_partkey as candidate from part a join part b on split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) and a.p_brand = b.p_brand and a.p_partkey <> b.p_partkey where b.p_type is not null")
 def candidate_search(spark, sf_dir):
+    """Every pair of parts of one token and brand. Lists of parts are paired and dealt evenly before pairs are written out, as few groups may hold most pairs."""
     p = table(spark, sf_dir, "part").withColumn("token", F.split_part("p_name", F.lit(" "), F.lit(2)))
-    b = p.where("p_type is not null").select("token", "p_brand", F.col("p_partkey").alias("candidate"))
-    return p.join(b, ["token", "p_brand"]).where("p_partkey <> candidate").select("p_partkey", "candidate")
+    return I.pairs_within(p, ["token", "p_brand"], "p_partkey", "candidate", right=F.col("p_type").isNotNull())
 
 
 @query("rank_top1_gate", """

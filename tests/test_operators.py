@@ -196,3 +196,16 @@ def test_word_spans_of_long_lines(spark):
             if own:
                 want.append((k, 640 * own[0] / 16000, 320 * (2 * own[-1] + 1) / 16000, pytest.approx(sum(1.0 / (1 + c % 7) for c in own) / len(own))))
         assert (got[i] is None and words is None) or [tuple(x) for x in got[i]] == want
+
+
+def test_pairs_of_one_large_group_are_the_work_of_many_tasks(spark):
+    from quillfern.operators import intervals as I
+
+    rows = [("a", k, k % 3 != 0) for k in range(300)] + [("b", 5, True), ("b", 5, True), ("b", 6, None), (None, 1, True), (None, 2, True), ("c", None, True), ("c", 7, True), ("c", 8, True), ("d", 9, True)]
+    df = spark.createDataFrame(rows, "k string, v long, r boolean")
+    got = I.pairs_within(df, ["k"], "v", "w", right=F.col("r"), block=16, task_pairs=5000)
+    want = [(x, y) for a, x, _ in rows for b, y, r in rows if a is not None and a == b and x is not None and y is not None and x != y and r]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    shares = got.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert len(shares) == 12 and max(shares) < len(want) / 4
+    assert I.pairs_within(df.where("k = 'd'"), ["k"], "v", "w").count() == I.pairs_within(df.where("false"), ["k"], "v", "w").count() == 0

@@ -1,15 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of shingle sets: links at `least` or more, decided on the sets themselves.
+"""Near-duplicates by the Jaccard similarity of shingle sets: links at `least` or more, found by SimHash fingerprints and vantage-point trees and decided on the sets themselves.
 
 Texts are lower-cased words in shingles of `size`; texts of equal sets form a class, so exact copies are merged by an
-aggregate. Candidates are classes that agree in one of 32 bands of four minimum hashes: a pair at similarity 0.8
-agrees in none with probability 5e-8, a more similar one with less. Candidates are decided by exact set sizes.
+aggregate. A class has a SimHash fingerprint of 1,536 bits, a majority of its shingles' hashes each, in 12 blocks of 128. Sets at
+similarity 0.8 differ in some 15 % of the bits (up to 16 % in sets of five shingles or more, 19 % in sets of four and five), others in half of them.
 
-Pairs that the 128 minimum hashes rule out (six standard deviations below `least`) are never compared by their sets.
-First each bucket's members are compared with its least one, which settles groups of close copies by a join. In buckets
-whose members are then still in different components, every pair that is left is compared once, in its first common bucket:
-minimum hashes alone say which members have such a pair, and only these get their sets. A bucket of more
-than `block` members is dealt in pairs of blocks, so a task's memory has a bound however many texts share a passage.
-Tasks return spanning forests of the links, never all pairs.
+A tree of that radius divides nothing, so every 16 bits have a vantage-point tree of their own (simhash.fit_tree) with a search radius
+of 1: ends of a link always meet in a leaf of a tree in whose 16 bits they differ in one bit at most. Trees are fitted on a bounded
+sample; all classes are dealt to leaves. A leaf is a shard: its values of 16 bits are divided further in memory, and members of
+near values are candidates if at most `BLOCK_BITS` of the whole block's 128 bits differ. A pair at similarity 0.8 is found in none of the 96 trees with
+probability 4e-13 by the block hits measured on random sets (1e-7 for sets of four and five shingles). Candidates are decided by exact set sizes.
+
+First each member is compared with its least candidates and the least one of its group in a shard, which settles groups of close copies, by joins.
+In families (what candidates connect) whose members are then still in different components, all pairs of different components that fingerprints
+and set sizes leave open are compared. A family of more than `block` members is dealt in pairs of blocks, so a task's memory has a bound.
+Tasks return spanning forests, never all pairs.
 
 Defined cases: null, empty and blank texts have the empty set, equal to each other and to nothing else; a text of fewer
 words than `size` is one shingle; rows without an id take no part.
@@ -17,6 +21,8 @@ words than `size` is one shingle; rows without an id take no part.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from fractions import Fraction
 
 import numpy as np
@@ -25,14 +31,17 @@ from pyspark.sql import functions as F
 
 from quillfern.llm.common import drop_stash, id_and_text, stash, text_slices
 from quillfern.llm.components import connected_components
+from quillfern.llm.simhash import _merge, best_split, fit_tree, route
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-BANDS, ROWS = 32, 4
 LEAST = Fraction(4, 5)
-_RNG = np.random.default_rng(11)
-FACTORS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MIX = _RNG.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
+WORDS = 24
+TREES = 4 * WORDS
+LOW16 = 0xFFFF
+#: Bits of a block of 128, and of a fingerprint, that may differ in a candidate: six standard deviations over the mean for the whole fingerprint.
+BLOCK_BITS = 30
+ALL_BITS, ALL_BITS_OF_SMALL, SMALL = 333, 380, 5
+FACTORS = np.random.default_rng(11).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 def shingle_hashes(text: str, size: int = 5) -> np.ndarray:
     """The distinct shingles of a text as sorted XXH64 values."""
@@ -52,18 +61,99 @@ def set_key(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """128 minimum hashes."""
-    low = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The 1,536 bits of a shingle set: a bit is set if it is set in over half of the shingles' mixed hashes."""
+    count = np.zeros(64 * WORDS, np.int64)
     for i in range(0, len(hashes), 4096):
-        low = np.minimum(low, (hashes[i : i + 4096, None] * FACTORS).min(0))
-    return low
+        x = hashes[i : i + 4096, None] * FACTORS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        planes = [x]  # plane k holds bit k of sums of rows
+        while len(planes[0]) > 24:
+            half = (len(planes[0]) + 1) // 2
+            carry, out = None, []
+            for p in planes:
+                a, b = p[:half].copy(), p[half:]
+                both = a[: len(b)] & b
+                a[: len(b)] ^= b
+                if carry is not None:
+                    both = np.concatenate((both, np.zeros((half - len(b), WORDS), np.uint64))) if len(b) < half else both
+                    both |= a & carry
+                    a ^= carry
+                elif len(b) < half:
+                    both = np.concatenate((both, np.zeros((half - len(b), WORDS), np.uint64)))
+                out.append(a)
+                carry = both
+            planes = [*out, carry]
+        for k, p in enumerate(planes):
+            count += np.unpackbits(p.view(np.uint8), axis=1).sum(0, dtype=np.int64) << k
+    return np.packbits(2 * count > len(hashes)).view(np.uint64)
+
+
+def near_values(values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j), i <= j, of all distinct 16-bit values that differ in one bit at most, by vantage points."""
+    rng = np.random.default_rng(7)
+    found, todo = [], [np.arange(len(values))]
+    while todo:
+        at = todo.pop()
+        split = best_split(values[at], LOW16, 1, rng) if len(at) > block else None
+        if split is not None:
+            _, mu, d = split
+            todo += [at[d <= mu + 1], at[d > mu]]
+            continue
+        step = max(1, 500_000 // max(1, len(at)))
+        for k in range(0, len(at), step):
+            i, j = np.nonzero(np.bitwise_count(values[at[k : k + step]][:, None] ^ values[at][None, :]) <= 1)
+            i, j = at[i + k], at[j]
+            found.append((i << 17 | j)[i <= j])
+    found = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    return found >> 17, found & 0x1FFFF
+
+
+def close_members(words: np.ndarray, column: int, shift: int, block: int):
+    """(i, j), i < j, of all rows of two words whose 16 bits differ in one bit at most and whose 128 bits in BLOCK_BITS at most; in several arrays."""
+    chunk = (words[:, column] >> np.uint64(shift)) & np.uint64(LOW16)
+    order = np.argsort(chunk, kind="stable")
+    values, start, size = np.unique(chunk[order], return_index=True, return_counts=True)
+    a, b = near_values(values, max(block, 2))
+    # Members of a value in pieces of at most `block`, so that pairs of pieces have a bound.
+    pieces = -(-size // block)
+    n = pieces[a] * pieces[b]
+    which = np.repeat(np.arange(len(a)), n)
+    k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    p, q = k // pieces[b][which], k % pieces[b][which]
+    from_a, from_b = start[a][which] + p * block, start[b][which] + q * block
+    len_a = np.minimum(block, size[a][which] - p * block)
+    len_b = np.minimum(block, size[b][which] - q * block)
+    total = np.cumsum(len_a * len_b)
+    lo = 0
+    while lo < len(which):
+        done = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, done + 250_000, "right")))
+        m = (len_a * len_b)[lo:hi]
+        r = np.repeat(np.arange(lo, hi), m)
+        k = np.arange(len(r)) - np.repeat(np.cumsum(m) - m, m)
+        i, j = order[from_a[r] + k // len_b[r]], order[from_b[r] + k % len_b[r]]
+        near = (np.bitwise_count(words[i] ^ words[j]).sum(1) <= BLOCK_BITS) & (i != j)
+        i, j = i[near], j[near]
+        yield np.minimum(i, j), np.maximum(i, j)
+        lo = hi
 
 
 def similar(a: int, b: int, common: int, least: Fraction) -> bool:
     return common * least.denominator >= least.numerator * (a + b - common)
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system: idle workers stay, beside those of the next step."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def listed(parts: list[np.ndarray]):
     """An Arrow array of lists of longs."""
     import pyarrow as pa
@@ -72,23 +162,24 @@ def listed(parts: list[np.ndarray]):
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, least: Fraction = LEAST, block: int = 512) -> DataFrame:
-    """first_id, component_id of every class of equal shingle sets: its smallest id and the smallest that links reach from it."""
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, least: Fraction = LEAST, block: int = 256, shard_rows: int = 32768, sample_cap: int = 16384) -> DataFrame:
+    """first_id, component_id of every class of equal shingle sets: its smallest id and the smallest that links reach from it. least: 0.8 or more, else candidates are missing."""
+    if least < LEAST:
+        raise ValueError("fingerprints find links at similarity 0.8 or more")
     rows = id_and_text(docs, doc_id, text).where("doc_id is not null")
 
     def sign(batches):
         import pyarrow as pa
 
         for ids, texts in text_slices(batches, 1_000_000):
-            keys, bands, sigs = [], [], []
+            keys, sizes, sigs = [], [], []
             for t in texts:
                 s = shingle_hashes(t, size)
-                low = signature(s)
                 keys.append(set_key(s))
-                sigs.append((low >> np.uint64(56)).astype(np.uint8).tobytes())
-                mixed = low.reshape(BANDS, ROWS) * MIX
-                bands.append((mixed ^ (mixed >> np.uint64(29))).sum(1, dtype=np.uint64).view(np.int64) if len(s) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), listed(bands), pa.array(sigs, pa.binary())], ["doc_id", "key", "bands", "sig"])
+                sizes.append(len(s))
+                sigs.append(fingerprint(s).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "key", "n", "sig"])
+        give_back()
 
     def sets_of(batches):
         import pyarrow as pa
@@ -96,88 +187,112 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
         for _, texts in text_slices(batches, 1_000_000):
             sets = [shingle_hashes(t, size) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), listed([s.view(np.int64) for s in sets])], ["key", "members"])
+        give_back()
+
+    signed = rows.mapInArrow(sign, "doc_id long, key long, n long, sig binary")
+    classes = stash(signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "shingle-classes")
+    worded = classes.where("n > 0")
+    count = worded.count()
+    cut = int(min(1.0, 1.2 * sample_cap / max(1, count)) * (1 << 62))
+    sample = [r[0] for r in worded.where(F.shiftrightunsigned(F.xxhash64("key", F.lit(1)), 2) <= cut).select("sig").limit(sample_cap).collect()]
+    sample = np.frombuffer(b"".join(map(bytes, sample)), np.uint64).reshape(-1, WORDS)
+    leaf = max(4, int(shard_rows * len(sample) / max(1, count)))
+    trees = classes.sparkSession.sparkContext.broadcast([fit_tree(sample[:, t // 4], LOW16 << 16 * (t % 4), 1, leaf) for t in range(TREES)])
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WORDS)
+            for t in range(TREES):
+                leaves, at = route(words[:, t // 4], trees.value[t], LOW16 << 16 * (t % 4), 1)
+                first = t // 8 * 2
+                key = batch.column(0).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(leaves * TREES + t, pa.int32()), key, *(pa.array(words[at, w].view(np.int64)) for w in (first, first + 1))], ["shard", "key", "x", "y"])
+        give_back()
+
+    def members(table):
+        key = table["key"].to_numpy()
+        order = np.argsort(key)
+        words = np.stack([table[c].to_numpy().view(np.uint64)[order] for c in ("x", "y")], 1)
+        t = table["shard"][0].as_py() % TREES
+        return key[order], close_members(words, t // 4 % 2, 16 * (t % 4), block)
+
+    def pairs_table(a, b):
+        import pyarrow as pa
 
-    share = float(least)
-    enough = int(BANDS * ROWS * share - 6 * (BANDS * ROWS * share * (1 - share)) ** 0.5)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def nearest(table):
+        """Each member's least candidate below it and above it, and the least member that candidates reach from it: candidates stay connected."""
+        key, found = members(table)
+        n = len(key)
+        below, above, label = np.full(n, n), np.full(n, n), np.arange(n)
+        for i, j in found:
+            np.minimum.at(below, j, i)
+            np.minimum.at(above, i, j)
+            _merge(label, i, j)
+        give_back()
+        j, i, k = np.flatnonzero(below < n), np.flatnonzero(above < n), np.flatnonzero(label < np.arange(n))
+        return pairs_table(np.concatenate((key[below[j]], key[i], key[label[k]])), np.concatenate((key[j], key[above[i]], key[k])))
+
+    def compare(table):
+        """A spanning forest of the links between different components, inside one block of a family or between two."""
+        key, label, n, part = (table[c].to_numpy() for c in ("key", "label", "n", "part"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint64).reshape(-1, WORDS)
+        sets, p, q = table["members"].combine_chunks(), table["p"][0].as_py(), table["q"][0].as_py()
+        root = np.unique(label, return_inverse=True)[1]
+        out = [], []
+        for i in range(len(key)):
+            # Each pair once: inside one block the later ones, between two blocks those of the other.
+            j = np.flatnonzero((root != root[i]) & ((np.arange(len(key)) > i) if p == q else (part[i] == p) & (part == q)))
+            least_n, most_n = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            j = j[(least_n * least.denominator >= most_n * least.numerator) & (np.bitwise_count(sig[i] ^ sig[j]).sum(1, dtype=np.int64) <= np.where(least_n < SMALL, ALL_BITS_OF_SMALL, ALL_BITS))]
+            for x in j.tolist():
+                if root[x] != root[i] and similar(int(n[i]), int(n[x]), len(np.intersect1d(sets[i].values, sets[x].values, assume_unique=True)), least):
+                    out[0].append(key[i])
+                    out[1].append(key[x])
+                    root[root == root[x]] = root[i]
+        if len(key) > block // 2:
+            give_back()
+        return pairs_table(*out)
 
     def close_pairs(batches):
         import pyarrow as pa
 
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig", "head_sig"))
-                yield batch.select(["head", "key"]).filter(pa.array((a == b).sum(1) >= enough))
-
-    signed = rows.mapInArrow(sign, "doc_id long, key long, bands array<long>, sig binary")
-    classes = stash(signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "shingle-classes")
-    placed = classes.select("key", F.posexplode("bands").alias("band", "bucket"))
-    shared = placed.groupBy("band", "bucket").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    placed = stash(placed.join(shared, ["band", "bucket"]), "shingle-buckets")
-
-    wanted = placed.select("key").distinct().join(classes.select("key", "first_id"), "key")
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WORDS) for c in ("sig", "other_sig"))
+                small = batch.column("least").to_numpy() < SMALL
+                yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= np.where(small, ALL_BITS_OF_SMALL, ALL_BITS)))
+
+    def decide(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar."""
+        described = classes.select("key", "n", "sig")
+        both = pairs.join(described.withColumnRenamed("key", "a"), "a").join(described.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("sig").alias("other_sig")), "b")
+        both = both.where(F.least("n", "m") * least.denominator >= F.greatest("n", "m") * least.numerator)
+        both = both.select("a", "b", "sig", "other_sig", F.least("n", "m").alias("least")).mapInArrow(close_pairs, "a long, b long")
+        both = both.join(sets.select(F.col("key").alias("a"), "members"), "a").join(sets.select(F.col("key").alias("b"), F.col("members").alias("others")), "b")
+        common = F.size(F.array_intersect("members", "others"))
+        return both.where((common * least.denominator) >= F.lit(least.numerator) * (F.size("members") + F.size("others") - common)).select("a", "b")
+
+    dealt = worded.select("key", "sig").mapInArrow(deal, "shard int, key long, x long, y long")
+    heads = stash(dealt.groupBy("shard").applyInArrow(nearest, "a long, b long").distinct(), "shingle-heads")
+    wanted = stash(heads.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key"), "shingle-wanted")
     texts = rows.join(wanted.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(sets_of, "key long, members array<long>")
     sets = stash(texts.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "shingle-sets")
-
-    sigs = classes.select("key", "sig")
-    pairs = placed.where("key <> head").select("head", "key").distinct().join(sigs, "key").join(sigs.select(F.col("key").alias("head"), F.col("sig").alias("head_sig")), "head")
-    pairs = pairs.select("head", "key", "sig", "head_sig").mapInArrow(close_pairs, "head long, key long")
-    both = pairs.join(sets, "key").join(sets.select(F.col("key").alias("head"), F.col("members").alias("others")), "head")
-    common = F.size(F.array_intersect("members", "others"))
-    near = (common * least.denominator) >= F.lit(least.numerator) * (F.size("members") + F.size("others") - common)
-    first = stash(both.where(near).select(F.col("head").alias("a"), F.col("key").alias("b")), "shingle-links")
+    first = stash(decide(heads, sets), "shingle-links")
     labels = connected_components(first).withColumnsRenamed({"node": "key", "component": "label"})
-
-    labelled = placed.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    labelled = stash(labelled, "shingle-labelled")
-    split = labelled.groupBy("band", "bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "bucket")
-    def candidates(group) -> tuple[list[int], list[tuple[int, int]]]:
-        """The group's keys, and the pairs of its members that have to be compared here."""
-        keys, band, label = group["key"].tolist(), int(group["band"].iloc[0]), group["label"].to_numpy()
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(keys), -1)
-        bands = np.array(group["bands"].tolist(), np.int64)
-        part, (p, q) = group["part"].to_numpy(), group[["p", "q"]].iloc[0]
-        out = []
-        for i in range(len(keys)):
-            # Each pair once: inside one block the later ones, between two blocks those of the other.
-            j = np.flatnonzero((label != label[i]) & ((np.arange(len(keys)) > i) if p == q else (part[i] == p) & (part == q)))
-            j = j[(sig[j] == sig[i]).sum(1) >= enough]
-            j = j[(bands[j] == bands[i]).argmax(1) == band]
-            out += [(i, x) for x in j.tolist()]
-        return keys, out
-
-    def involved(group):
-        import pandas as pd
-
-        keys, pairs = candidates(group)
-        found = group.iloc[sorted({x for pair in pairs for x in pair})]
-        return pd.DataFrame({c: found[c] for c in ("band", "bucket", "p", "q", "part", "key", "label")})
-
-    def compare(group):
-        import pandas as pd
-
-        keys, pairs = candidates(group)
-        root = np.unique(group["label"].to_numpy(), return_inverse=True)[1]
-        sets = group["members"].tolist()
-        out = []
-        for i, j in pairs:
-            if root[i] != root[j]:
-                a, b = sets[i], sets[j]
-                if similar(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True)), least):
-                    out.append((keys[i], keys[j]))
-                    root[root == root[j]] = root[i]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    left = labelled.join(split, ["band", "bucket"]).select("band", "bucket", "key", "label")
-    blocks = labelled.join(split, ["band", "bucket"]).groupBy("band", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
-    dealt = left.join(blocks, ["band", "bucket"]).withColumn("part", F.pmod(F.xxhash64("key", F.lit(5)), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("band", "bucket", "key", "label", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    where = ["band", "bucket", "p", "q"]
-    described = classes.select("key", "bands", "sig")
-    some = dealt.join(described, "key").groupBy(*where).applyInPandas(involved, "band int, bucket long, p int, q int, part int, key long, label long")
-    some = stash(some, "shingle-involved")
-    second = some.join(described, "key").join(sets, "key").groupBy(*where).applyInPandas(compare, "a long, b long")
+    families = connected_components(heads).withColumnsRenamed({"node": "key", "component": "family"})
+    labelled = stash(wanted.select("key", "n").join(families, "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")), "shingle-labelled")
+    blocks = labelled.groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).where("x <> y").select("family", "parts")
+    left = labelled.join(blocks, "family").withColumn("part", F.pmod(F.xxhash64("key", F.lit(5)), F.col("parts")).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("family", "key", "label", "n", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    second = left.join(wanted.select("key", "sig"), "key").join(sets, "key").groupBy("family", "p", "q").applyInArrow(compare, "a long, b long")
     parts = connected_components(first.unionByName(second))
     named = stash(classes.select("key", "first_id").join(parts.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key")), "shingle-named")
-    drop_stash(classes, placed, sets, first, labelled, some)
+    drop_stash(classes, heads, wanted, sets, first, labelled)
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return named.join(smallest, "component").select("first_id", "component_id")

@@ -30,7 +30,6 @@ from pyspark.sql import Window as W
 
 from quillfern.llm.common import drop_stash, free_name, id_and_text, stash, text_slices
 from quillfern.llm.components import connected_components
-from quillfern.llm.shingle_links import near_copies
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 HALVES = (0xFFFFFFFF00000000, 0x00000000FFFFFFFF)
@@ -222,9 +221,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose id is the smallest of its component: one document of each group. Rows without an id stay; of repeated ids the row with the smallest SHA-256 of its text stays. An empty table stays empty; extra columns stay, whatever their names.
 
-    Groups here are those of five-word shingles at Jaccard similarity 0.8 or more (shingle_links), not of op3's fingerprints: pairs at
-    that similarity differ in up to some 17 of 64 bits, and a search of that radius divides nothing.
+    Groups here are those of five-word shingles at Jaccard similarity 0.8 or more: longer fingerprints and a vantage-point tree for each 16 of
+    their bits find the pairs, the sets decide (shingle_links). Pairs at that similarity differ in up to some 17 of op3's 64 bits, and a search of that radius divides nothing.
     """
+    from quillfern.llm.shingle_links import near_copies
+
     id_, sha, n = (free_name(docs, x) for x in ("id", "sha", "n"))
     kept = near_copies(docs, doc_id, text).select(F.col("component_id").alias(id_)).distinct()
     out = docs.join(kept, F.col(doc_id) == F.col(id_), "left_semi")

@@ -313,6 +313,40 @@ def test_keep_one_links_all_pairs_of_similarity_08(spark):
     assert {r.component_id for r in shingle_links.near_copies(df, block=2).collect()} == want  # buckets dealt in pairs of blocks
 
 
+def test_keep_one_finds_pairs_by_fingerprints_and_trees():
+    """Every pair of shingle sets at similarity 0.8 or more meets in a leaf of a tree and is a candidate there, in sets of four shingles and more."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    sets, pairs = [draw(n) for n in rng.integers(1, 300, 300)], []
+    for common, a, b in ((4, 0, 1), (8, 0, 2), (8, 1, 1), (40, 5, 5), (40, 0, 10), (160, 15, 25), (400, 1, 0)) * 20:
+        s = draw(common + a + b)
+        pairs.append((len(sets), len(sets) + 1))
+        sets += [s[: common + a], np.concatenate((s[:common], s[common + a :]))]
+    plain = []
+    for s in sets:
+        x = s[:, None] * shingle_links.FACTORS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        plain.append(np.packbits(2 * np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.int64) > len(s)).view(np.uint64))
+    fps = np.array([shingle_links.fingerprint(s) for s in sets])
+    assert (fps == np.array(plain)).all()
+    found = set()
+    for t in range(shingle_links.TREES):
+        mask = shingle_links.LOW16 << 16 * (t % 4)
+        tree = simhash.fit_tree(fps[::3, t // 4], mask, 1, 40)
+        shard, at = simhash.route(fps[:, t // 4], tree, mask, 1)
+        for leaf in np.unique(shard):
+            own = at[shard == leaf]
+            words = fps[own][:, t // 8 * 2 : t // 8 * 2 + 2]
+            near = np.bitwise_count((words[:, None, t // 4 % 2] ^ words[None, :, t // 4 % 2]) & np.uint64(mask)) <= 1
+            near &= np.bitwise_count(words[:, None] ^ words[None]).sum(2) <= shingle_links.BLOCK_BITS
+            got = {(a, b) for i, j in shingle_links.close_members(words, t // 4 % 2, 16 * (t % 4), 7) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+            assert got == {(i, j) for i, j in zip(*map(list, np.nonzero(near)), strict=True) if i < j}
+            found |= {tuple(sorted((int(own[i]), int(own[j])))) for i, j in got}
+    assert set(pairs) <= found and len(found) < len(pairs) + 20
+
+
 # -- 4 --------------------------------------------------------------------------------------------
 
 

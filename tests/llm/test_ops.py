@@ -313,6 +313,48 @@ def test_keep_one_links_all_pairs_of_similarity_08(spark):
     assert {r.component_id for r in shingle_links.near_copies(df, block=2).collect()} == want  # buckets dealt in pairs of blocks
 
 
+def test_near_copies_of_a_large_group_are_whole_and_deal_no_pairs(spark, monkeypatch):
+    """A large group of near copies, chains of edits beside it and texts that share half of it: what is written grows with members, not with their pairs."""
+    rng = np.random.default_rng(6)
+    base = [f"v{k}" for k in rng.integers(0, 5000, 120)]
+    edited = iter(range(10**6))
+
+    def edit(words, n):
+        words = list(words)
+        for at in rng.integers(0, len(words), n):
+            words[at] = f"new{next(edited)}"
+        return words
+
+    rows = [edit(base, 1) for _ in range(300)] + [edit(base, n) for n in (2, 3, 4, 5, 7) * 12]
+    rows += [edit(rows[300 + k], n) for k, n in enumerate((1, 2, 3) * 20)] + [base[:60] + edit(base[60:], 40) for _ in range(40)]
+    texts = {i: " ".join(words) for i, words in enumerate(rows)}
+    want = plain_near_copies(texts)
+    assert 45 <= len(want) < 120
+    written = {}
+
+    def counted(df, label):
+        out = stash(df, label)
+        written[label] = out.count()
+        return out
+
+    stash = shingle_links.stash
+    monkeypatch.setattr(shingle_links, "stash", counted)
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], SCHEMA)
+    got = shingle_links.near_copies(df, block=32).collect()
+    assert {r.component_id for r in got} == want and sorted(r.first_id for r in got) == sorted(texts)
+    assert written["shingle-heads"] <= 8 * len(rows)
+    assert all(n <= 2 * len(rows) for label, n in written.items() if label != "shingle-heads"), written
+
+
+def test_possible_keeps_all_rows_of_members_and_few_others(spark):
+    rows = spark.range(20000).selectExpr("id * 7 - 9000 as first_id", "cast(id as string) as text")
+    members = rows.where("first_id % 11 = 0")
+    want = {r.first_id for r in members.collect()}
+    got = [(r.first_id, r.text) for r in shingle_links.possible(rows, members, "first_id").collect()]
+    assert want <= {i for i, _ in got} and len(got) == len(set(got)) < 2.5 * len(want) and all(7 * int(t) - 9000 == i for i, t in got)
+    assert len(shingle_links.possible(rows, members.limit(0), "first_id").collect()) == 0
+
+
 def test_keep_one_finds_pairs_by_fingerprints_and_trees():
     """Every pair of shingle sets at similarity 0.8 or more meets in a leaf of a tree and is a candidate there, in sets of four shingles and more."""
     rng = np.random.default_rng(8)
